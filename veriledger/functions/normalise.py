@@ -141,19 +141,25 @@ def currency(s: Column, codes: list[str]) -> Column:
 _YMD = [(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"), (r"^\d{4}년 \d{1,2}월 \d{1,2}일$", "yyyy년 M월 d일")]
 _MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 #: Day, month name, year in either order, with the punctuation that documents use.
-_DAY_FIRST = [rf"(?i)^(\d{{1,2}}){sep}{_MONTH}{sep}(\d{{4}})$" for sep in (" ", "-", r"\.")]
-_MONTH_FIRST = [rf"(?i)^{_MONTH}{a}(\d{{1,2}}){b}(\d{{4}})$" for a, b in ((" ", ", "), (r"\.", r"\."), ("-", "-"), (r"\. ", ", "))]
+_DAY_FIRST = rf"(?i)^(\d{{1,2}})([ .-]){_MONTH}\2(\d{{4}})$"
+_MONTH_FIRST = rf"(?i)^{_MONTH}(?:\.? (\d{{1,2}}), |\.(\d{{1,2}})\.|-(\d{{1,2}})-)(\d{{4}})$"
 
 
 def _parse(s: Column, fmt: str) -> Column:
     return F.to_date(F.try_to_timestamp(s, F.lit(fmt)))
 
 
-def _named(s: Column, pattern: str, day: int, month: int, year: int) -> Column:
-    parts = F.concat_ws(" ", F.lpad(F.regexp_extract(s, pattern, day), 2, "0"), F.initcap(F.substring(F.regexp_extract(s, pattern, month), 1, 3)), F.regexp_extract(s, pattern, year))
+def _named(s: Column, pattern: str, days: tuple[int, ...], month: int, year: int) -> Column:
+    group = lambda k: F.regexp_extract(s, pattern, k)
+    parts = F.concat_ws(" ", F.lpad(F.concat(*map(group, days)), 2, "0"), F.initcap(F.substring(group(month), 1, 3)), group(year))
     return F.when(s.rlike(pattern), _parse(parts, "dd MMM yyyy"))
 
 
+def _let(value: Column, then) -> Column:
+    """Evaluate ``value`` once for an expression that names it often."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def date(s: Column, order: str | None = None) -> Column:
     """ISO date. ``order`` ('DMY' or 'MDY') settles all-digit dates; without it only those with one valid reading pass."""
     ordinal = r"(?i)\b(\d{1,2})(st|nd|rd|th)(?=\s+[A-Za-z])"
@@ -161,57 +167,55 @@ def date(s: Column, order: str | None = None) -> Column:
     n = day.try_cast("int")
     right = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
     plain = F.regexp_replace(F.regexp_replace(s, ordinal, "$1"), r",(?=\d{4}\b)", ", ")
-    readings = [F.when(plain.rlike(p), _parse(plain, f)) for p, f in _YMD]
-    readings += [_named(plain, p, 1, 2, 3) for p in _DAY_FIRST] + [_named(plain, p, 2, 1, 3) for p in _MONTH_FIRST]
     digits = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
-    a, b, y = (F.regexp_extract(plain, digits, k) for k in (1, 3, 4))
-    dmy, mdy = (F.when(plain.rlike(digits), _parse(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")) for d, m in ((a, b), (b, a)))
-    if order == "DMY":
-        readings.append(dmy)
-    elif order == "MDY":
-        readings.append(mdy)
-    else:
-        valid = F.array_distinct(F.array_compact(F.array(dmy, mdy)))
-        readings.append(F.when(F.size(valid) == 1, F.element_at(valid, 1)))
-    found = F.coalesce(*readings)
-    return _filled(s, F.when((suffix != "") & (suffix != right), _no("invalid_day_ordinal")).when(found.isNotNull(), _ok(F.date_format(found, "yyyy-MM-dd"))).otherwise(_no("ambiguous_or_invalid_date")))
+
+    def read(p: Column) -> Column:
+        a, b, y = (F.regexp_extract(p, digits, k) for k in (1, 3, 4))
+        dmy, mdy = (F.when(p.rlike(digits), _parse(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")) for d, m in ((a, b), (b, a)))
+        one = _let(F.array_distinct(F.array_compact(F.array(dmy, mdy))), lambda v: F.when(F.size(v) == 1, F.element_at(v, 1)))
+        return F.coalesce(*(F.when(p.rlike(x), _parse(p, f)) for x, f in _YMD), _named(p, _DAY_FIRST, (1,), 3, 4), _named(p, _MONTH_FIRST, (2, 3, 4), 1, 5), {"DMY": dmy, "MDY": mdy}.get(order, one))
+
+    result = _let(_let(plain, read), lambda d: F.when(d.isNotNull(), _ok(F.date_format(d, "yyyy-MM-dd"))).otherwise(_no("ambiguous_or_invalid_date")))
+    return _filled(s, F.when((suffix != "") & (suffix != right), _no("invalid_day_ordinal")).otherwise(result))
 
 
 def number(s: Column, decimal_mark: str | None = None) -> Column:
     """Fixed-point decimal text. One mark before exactly three digits is ambiguous unless ``decimal_mark`` is given."""
-    bare = F.regexp_replace(s, r"^[$€£¥₩]\s*|\s*[$€£¥₩]$", "")
-    negative = bare.rlike(r"^\(.*\)$")
-    body = F.when(negative, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare)
-    spaced = body.contains(" ")
-    t = F.replace(body, F.lit(" "), F.lit(""))
-    commas, dots = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))), F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
-    last = F.regexp_extract(t, r"([.,])[^.,]*$", 1)
-    if decimal_mark:
-        mark, unclear = F.lit(decimal_mark), F.lit(False)
-    else:
+    without = lambda x, chars: F.translate(x, chars, "")
+
+    def unsigned(bare: Column) -> Column:
+        negative = bare.rlike(r"^\(.*\)$")
+        body = F.when(negative, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare)
+        return _let(F.struct(negative.alias("negative"), body.alias("body"), without(body, " ").alias("t")), marked)
+
+    def marked(x: Column) -> Column:
+        t = x["t"]
+        commas, dots = F.length(t) - F.length(without(t, ",")), F.length(t) - F.length(without(t, "."))
         one = (commas + dots) == 1
-        unclear = one & t.rlike(r"[.,]\d{3}$")
-        # Both kinds: the last is the decimal mark. One kind, once: decimal. One kind, repeated: grouping.
-        mark = F.when((commas > 0) & (dots > 0), last).when(one, last).when(commas > 1, F.lit(".")).when(dots > 1, F.lit(",")).otherwise(F.lit("."))
-    group = F.when(mark == ".", ",").otherwise(".")
-    parts = F.split(t, F.concat(F.lit("\\"), mark))
-    whole, fraction = F.element_at(parts, 1), F.try_element_at(parts, F.lit(2))
-    bad_group = F.locate(",", whole) + F.locate(".", whole) > 0
-    # Marks left in the whole part are grouping marks: they part complete groups of three.
-    grouped = whole.rlike(r"^[+-]?\d{1,3}(?:[.,]\d{3})+$")
-    digits = F.regexp_replace(F.replace(F.replace(whole, F.lit(","), F.lit("")), F.lit("."), F.lit("")), r"^\+", "")
-    digits = F.regexp_replace(digits, r"^(-?)0+(?=\d)", "$1")
-    value = F.concat(digits, F.when(F.size(parts) == 2, F.concat(F.lit("."), fraction)).otherwise(""))
-    signed = F.when(negative, F.when(value.startswith("-"), F.substring(value, 2, 100000)).otherwise(F.concat(F.lit("-"), value))).otherwise(value)
-    result = (
-        F.when(~body.rlike(r"^[+-]?[0-9][0-9., ]*$"), _no("invalid_number_span"))
-        .when(spaced & ~body.rlike(r"^[+-]?\d{1,3}(?: \d{3})+(?:[.,]\d+)?$"), _no("invalid_grouping"))
-        .when(unclear, _no("ambiguous_number_separator"))
-        .when((F.size(parts) > 2) | ((F.size(parts) == 2) & ~F.coalesce(fraction.rlike(r"^\d+$"), F.lit(False))), _no("invalid_number"))
-        .when(bad_group & (~grouped | (F.locate(mark, whole) > 0)), _no("invalid_grouping"))
-        .otherwise(_ok(signed))
-    )
-    return _filled(s, result)
+        # Both marks: the last is the decimal mark. One mark, once: decimal. One mark, repeated: grouping.
+        inferred = F.when(one | ((commas > 0) & (dots > 0)), F.regexp_extract(t, r"([.,])[^.,]*$", 1)).when(dots > 1, F.lit(",")).otherwise(F.lit("."))
+        mark = F.lit(decimal_mark) if decimal_mark else inferred
+        unclear = F.lit(False) if decimal_mark else one & t.rlike(r"[.,]\d{3}$")
+        fields = [x[c].alias(c) for c in ("negative", "body")]
+        return _let(F.struct(*fields, unclear.alias("unclear"), mark.alias("mark"), F.split(t, F.concat(F.lit("\\"), mark)).alias("parts")), judged)
+
+    def judged(x: Column) -> Column:
+        whole, n = F.element_at(x["parts"], 1), F.size(x["parts"])
+        fraction = F.coalesce(F.try_element_at(x["parts"], F.lit(2)), F.lit(""))
+        digits = F.regexp_replace(without(whole, ",.+"), r"^(-?)0+(?=\d)", "$1")
+        value = F.concat(digits, F.when(n == 2, F.concat(F.lit("."), fraction)).otherwise(""))
+        signed = F.when(~x["negative"], value).when(value.startswith("-"), F.regexp_replace(value, "^-", "")).otherwise(F.concat(F.lit("-"), value))
+        return (
+            F.when(~x["body"].rlike(r"^[+-]?[0-9][0-9., ]*$"), _no("invalid_number_span"))
+            .when(x["body"].contains(" ") & ~x["body"].rlike(r"^[+-]?\d{1,3}(?: \d{3})+(?:[.,]\d+)?$"), _no("invalid_grouping"))
+            .when(x["unclear"], _no("ambiguous_number_separator"))
+            .when((n > 2) | ((n == 2) & ~fraction.rlike(r"^\d+$")), _no("invalid_number"))
+            # Marks left in the whole part are grouping marks: they part complete groups of three.
+            .when(whole.rlike(r"[.,]") & ~whole.rlike(r"^[+-]?\d{1,3}(?:[.,]\d{3})+$"), _no("invalid_grouping"))
+            .otherwise(_ok(signed))
+        )
+
+    return _filled(s, _let(F.regexp_replace(s, r"^[$€£¥₩]\s*|\s*[$€£¥₩]$", ""), unsigned))
 
 
 def normalise(raw: Column, kind: str, spark: SparkSession, order: str | None = None, decimal_mark: str | None = None) -> Column:

@@ -35,4 +35,4 @@ def view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
 
 def plain(sql: str) -> str:
     """The same view for DuckDB, where tables are registered under their names."""
-    return sql.replace("{", "").replace("}", "")
+    return sql.replace("{", "").replace("}", "").replace("`", '"')

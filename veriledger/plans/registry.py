@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import recon  # noqa: F401  registers its queries
+from . import norm, recon  # noqa: F401  these register their queries
 from .base import ORACLES, QUERIES, Query
 
 
