@@ -1,10 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, both trained together in numpy.
 
-A word is the bag of its hashed character 3- to 5-grams and itself; a text is the average of
-its words' vectors; a two-class linear softmax reads that average. Embeddings and softmax
-weights are learned jointly, so a misspelling never seen shares the vectors of its n-grams.
-Because every step after the lookup is linear, a word's share of the logit is a number that
-is computed once a task and word and then added up for each text.
+A word is the bag of its hashed character 3- to 5-grams and itself. A text is read in windows of
+``WINDOW`` words, all of it; a window is the average of its distinct words' vectors, a two-class
+linear softmax reads that average, and the text's score is that of its worst window. One abusive
+sentence in a long text then weighs as much as in a short one, and a word repeated hundreds of
+times weighs once a window. Embeddings and softmax weights are learned jointly, each text by the
+window that is worst at that moment, so a misspelling never seen shares the vectors of its n-grams.
+Because every step after the lookup is linear, a word's share of the logit is a number that is
+computed once a task and word and then added up.
 
 Defined results: null and empty texts get the bias alone; null ids are scored; repeated rows
 are scored each; extra columns are ignored; an empty table gives no rows; with no usable label
@@ -14,7 +17,6 @@ the score is 0.5, with one class a smoothed prior.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -45,6 +47,12 @@ def subwords(word: bytes) -> list[int]:
     return [crc32(g.encode("utf-8", "replace")) & _MASK for g in grams] + [crc32(b"\0" + key) & _MASK]
 
 
+def windows(text: bytes) -> list[list[bytes]]:
+    """The distinct words of each run of ``WINDOW`` words, to the text's end."""
+    words = text.split()
+    return [list(dict.fromkeys(words[k : k + WINDOW])) for k in range(0, len(words), WINDOW)]
+
+
 def gram_table(words: list[bytes], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """How many distinct buckets each word has, and all words' buckets in a row."""
     sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -84,83 +92,96 @@ class SubwordModel:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probability of the toxic class for each whole text."""
-        split = [t.split() for t in texts]
-        get = self.word_logits({w for ws in split for w in ws}).__getitem__
+        split = [windows(t) for t in texts]
+        get = self.word_logits({w for ws in split for win in ws for w in win}).__getitem__
         bias = float(self.bias[1] - self.bias[0])
-        z = np.array([bias + (SCALE * sum(map(get, ws)) / (len(ws) + PAD)) for ws in split])
+        z = np.array([bias + SCALE * max((sum(map(get, win)) / (len(win) + PAD) for win in ws), default=0.0) for ws in split])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, docs: list[tuple[list[bytes], np.ndarray]], labels: list[int], prior: float, dim: int = 12, epochs: int = 8, rate: float = 1.0, batch: int = 64, min_docs: int = 5, floor: float = 1e-4, decay: float = 0.0, seed: int = 11) -> SubwordModel:
-        """Softmax cross-entropy with AdaGrad steps on embeddings, weights and biases together. ``docs``: distinct words and their counts.
+    def fit(cls, docs: list[list[list[bytes]]], labels: list[int], prior: float, dim: int = 12, epochs: int = 8, rate: float = 1.0, batch: int = 64, min_docs: int = 5, floor: float = 1e-4, seed: int = 11) -> SubwordModel:
+        """Softmax cross-entropy with AdaGrad steps on embeddings, weights and biases together. ``docs``: the windows of each text.
 
-        N-grams met in fewer than ``min_docs`` texts stay zero, ``floor`` keeps AdaGrad from large steps on rare ones, and ``decay`` shrinks what was touched.
-        ``prior`` is the toxic share among all labels; the biases are shifted to it if the sample was balanced otherwise.
+        N-grams met in fewer than ``min_docs`` texts stay zero, and ``floor`` keeps AdaGrad from large steps on rare ones.
+        Both classes weigh the same, as a missed toxic text costs more than a false alarm; ``prior``, the toxic share among all labels, serves only
+        where the sample has one class.
         """
         bad = sum(labels)
         if not labels or bad in (0, len(labels)):
             return cls.constant((prior * len(labels) + 0.5) / (len(labels) + 1) if labels else 0.5, dim)
         rng = np.random.default_rng(seed)
         ids: dict[bytes, int] = {}
-        rows = [(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)), np.asarray(n, np.float64)) for words, n in docs]
+        rows = []  # for each text: its windows' words in a row, and the windows' sizes
+        for d in docs:
+            d = d or [[b""]]
+            rows.append((np.array([ids.setdefault(w, len(ids)) for win in d for w in win], np.int32), np.array([len(win) for win in d], np.int32)))
         sizes, flat = gram_table(list(ids))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        emb = np.zeros((N_BUCKETS, dim), np.float32)
         met = np.zeros(N_BUCKETS, np.int64)
         for words, _ in rows:
-            met[np.unique(np.concatenate([flat[offsets[w] : offsets[w + 1]] for w in words] or [flat[:0]]))] += 1
+            vocab = np.unique(words)
+            starts = np.cumsum(sizes[vocab]) - sizes[vocab]
+            met[np.unique(flat[np.repeat(offsets[vocab] - starts, sizes[vocab]) + np.arange(int(sizes[vocab].sum()))])] += 1
         known = met >= min_docs
-        seen = np.nonzero(known)[0]
-        emb[seen] = rng.normal(0, 0.002, (len(seen), dim))
+        emb = np.zeros((N_BUCKETS, dim), np.float32)
+        emb[known] = rng.normal(0, 0.002, (int(known.sum()), dim))
         out, bias = rng.normal(0, 0.3, (2, dim)), np.zeros(2)
         g_emb, g_out, g_bias = np.full(N_BUCKETS, floor), np.full((2, dim), 1e-4), np.full(2, 1e-2)
         y = np.array(labels)
+        class_weight = np.where(y == 1, (len(y) - bad) / bad, 1.0)  # both classes weigh the same
         for _ in range(epochs):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
-                pick = [k for k in order[at : at + batch] if len(rows[k][0])]
-                if not pick:
-                    continue
-                doc_of = np.repeat(np.arange(len(pick)), [len(rows[k][0]) for k in pick])
+                pick = order[at : at + batch]
                 word = np.concatenate([rows[k][0] for k in pick])
-                weight = np.concatenate([rows[k][1] / (rows[k][1].sum() + PAD) for k in pick]) * SCALE
+                lengths = np.concatenate([rows[k][1] for k in pick])
                 vocab, local = np.unique(word, return_inverse=True)
                 n_grams = sizes[vocab]
-                starts = np.concatenate([[0], np.cumsum(n_grams)[:-1]])
+                starts = np.cumsum(n_grams) - n_grams
                 gram = flat[np.repeat(offsets[vocab] - starts, n_grams) + np.arange(int(n_grams.sum()))]
-                vectors = np.add.reduceat(emb[gram], starts, axis=0) / n_grams[:, None]
-                doc_starts = np.concatenate([[0], np.cumsum([len(rows[k][0]) for k in pick])[:-1]])
-                mean = np.add.reduceat(vectors[local] * weight[:, None], doc_starts, axis=0)
+                direction = out[1] - out[0]
+                # The worst window of each text, by the model as it stands.
+                logit = np.add.reduceat((emb @ direction)[gram], starts) / n_grams
+                first = np.cumsum(lengths) - lengths
+                window = np.add.reduceat(logit[local], first) / (lengths + PAD)
+                per_doc = np.array([len(rows[k][1]) for k in pick])
+                doc_first = np.cumsum(per_doc) - per_doc
+                worst = np.array([f + int(window[f : f + n].argmax()) for f, n in zip(doc_first, per_doc)])
+                chosen = np.concatenate([local[first[k] : first[k] + lengths[k]] for k in worst])
+                doc_of = np.repeat(np.arange(len(pick)), lengths[worst])
+                weight = SCALE / (lengths[worst] + PAD)[doc_of]
+                used, chosen = np.unique(chosen, return_inverse=True)
+                vectors = np.stack([emb[gram[starts[k] : starts[k] + n_grams[k]]].mean(axis=0) for k in used])
+                mean = np.zeros((len(pick), dim))
+                np.add.at(mean, doc_of, vectors[chosen] * weight[:, None])
                 z = mean @ out.T + bias
                 z -= z.max(axis=1, keepdims=True)
-                p = np.exp(z)
-                p /= p.sum(axis=1, keepdims=True)
-                err = p
+                err = np.exp(z)
+                err /= err.sum(axis=1, keepdims=True)
                 err[np.arange(len(pick)), y[pick]] -= 1
-                err /= len(pick)
+                err *= class_weight[pick][:, None] / len(pick)
                 # Two classes: err[:, 0] = -err[:, 1], so every embedding moves along one direction.
-                word_pull = np.bincount(local, err[doc_of, 1] * weight, len(vocab)) / n_grams
+                word_pull = np.zeros(len(vocab))
+                word_pull[used] = np.bincount(chosen, err[doc_of, 1] * weight, len(used))
+                word_pull /= n_grams
                 pull = np.bincount(gram, np.repeat(word_pull, n_grams), N_BUCKETS)
                 hit = np.nonzero(pull * known)[0]
-                direction = out[1] - out[0]
                 g_out_now, g_bias_now = err.T @ mean, err.sum(axis=0)
                 g_emb[hit] += pull[hit] ** 2 * float(direction @ direction) / dim
-                emb[hit] *= 1 - rate * decay
                 emb[hit] -= (rate * (pull[hit] / np.sqrt(g_emb[hit])))[:, None] * direction[None, :].astype(np.float32)
                 g_out += g_out_now**2
                 g_bias += g_bias_now**2
                 out -= rate * g_out_now / np.sqrt(g_out)
                 bias -= rate * g_bias_now / np.sqrt(g_bias)
-        share = bad / len(labels)
-        prior = min(max(prior, 1e-4), 1 - 1e-4)
-        bias[1] += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
         return cls(emb, out.astype(np.float32), bias)
 
 
-#: Averages of thousands of words are small numbers; this fixed factor keeps their gradients in range.
+#: Averages of many words are small numbers; this fixed factor keeps their gradients in range.
 SCALE = 8.0
-#: Zero vectors added to every text's average, so that a few words alone make no strong case.
+#: Zero vectors added to every window's average, so that a few words alone make no strong case.
 PAD = 8
+#: Words of a window.
+WINDOW = 32
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "toxic", max_train_rows: int = 9_000) -> SubwordModel:
@@ -174,16 +195,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "tox
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, size in slices(b, "text"):
-                counts = [Counter(t.split()) for t in text_bytes(b, "text", start, size)]
-                yield pa.RecordBatch.from_arrays([
-                    b.column(b.schema.get_field_index("doc_id")).slice(start, size).cast(pa.int64()), b.column(b.schema.get_field_index("_y")).slice(start, size).cast(pa.int32()),
-                    pa.array([b" ".join(c) for c in counts], pa.binary()), pa.array([np.fromiter(c.values(), "<i4", len(c)).tobytes() for c in counts], pa.binary()),
-                ], ["doc_id", "y", "words", "counts"])
-
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(bags, "doc_id long, y int, words binary, counts binary")
-    got = sorted((r.doc_id, r.y, bytes(r.words), bytes(r.counts)) for r in sample.toLocalIterator())
+                packed = [b"\n".join(b" ".join(win) for win in windows(t)) for t in text_bytes(b, "text", start, size)]
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).slice(start, size).cast(pa.int64()), b.column(b.schema.get_field_index("_y")).slice(start, size).cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "y", "windows"])
+
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(bags, "doc_id long, y int, windows binary")
+    got = sorted((r.doc_id, r.y, bytes(r.windows)) for r in sample.toLocalIterator())
     prior = (totals["bad"] or 0) / totals["n"] if totals["n"] else 0.5
-    return SubwordModel.fit([(w.split(), np.frombuffer(c, "<i4")) for _, _, w, c in got], [y for _, y, _, _ in got], prior)
+    return SubwordModel.fit([[line.split() for line in w.split(b"\n")] if w else [] for _, _, w in got], [y for _, y, _ in got], prior)
 
 
 def score(docs: DataFrame, model: SubwordModel, held_out: F.Column, threshold: float = 0.5) -> DataFrame:
