@@ -128,17 +128,26 @@ def read_records(source) -> Iterator[dict]:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, serial, first_id, first_serial): for each page, the page written in full for its payload.
+    """(page_id, url, html, revisit, first_id): which pages revisit another, and which one.
 
     Ids are first reduced by digest in each task, so a payload that a third of all pages share
-    is a few rows; the join back is on the digest, where Spark splits a large partition.
+    is a few rows. Payloads that occur once need no partner; those that occur more often are
+    written as a narrow table, whose known size lets Spark choose: a broadcast under its
+    threshold, else one shuffle of the pages by digest, where it splits a large partition.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    digests = rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"), F.sum(F.when(F.col("page_id").isNull(), 1).otherwise(0)).alias("nulls"))
-    shared = first.where("copies > 1").select(F.col("digest").alias("_digest"), "first_id")
-    keyed = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    return keyed.join(shared, keyed["digest"] == shared["_digest"], "left").withColumn("shared", F.col("_digest").isNotNull()).drop("_digest")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    ids = rows.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n"))
+    shared = ids.groupBy("digest").agg(first.alias("f"), F.sum("n").alias("copies")).where("copies > 1")
+    shared = materialise(shared.select(F.col("digest").alias("_digest"), F.col("f.page_id").alias("first_id"), (F.col("f.n") > 1).alias("repeated")), "payloads")
+    marked = rows.join(shared, rows["digest"] == shared["_digest"], "left").withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first_id")))
+    marked = marked.withColumn("revisit", F.col("_digest").isNotNull() & ~F.col("is_first"))
+    if shared.where("repeated").limit(1).count():
+        # The id written in full stands on several rows: one of them is the response.
+        tied = F.col("is_first") & F.coalesce("repeated", F.lit(False))
+        place = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
+        marked = marked.where(~tied).unionByName(marked.where(tied).withColumn("revisit", place > 1))
+    return marked.select("page_id", "url", "html", "revisit", "first_id")
 
 
 def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -146,13 +155,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     spark = pages.sparkSession
     root = scratch_path(spark, "warc")
     spark.range(0).write.mode("overwrite").parquet(f"{root}/made")  # makes the folder, through Spark
-    marked = with_revisits(pages)
-    # Repeated rows of the id that is written in full: the first is the response.
-    same = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy(F.lit(1)))
-    full = marked.where("shared AND page_id <=> first_id").withColumn("_n", same)
-    full = full.withColumn("revisit", F.col("_n") > 1).drop("_n")
-    rest = marked.where("NOT (shared AND page_id <=> first_id)").withColumn("revisit", F.col("shared"))
-    ready = full.unionByName(rest).select("page_id", "url", "html", "revisit", "first_id")
+    ready = with_revisits(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pafs.FileSystem.from_uri(root)
