@@ -2,51 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise, path as scratch_path  # noqa: F401  shared by the operators
+
 #: ASCII white space; words are maximal runs of anything else. ``bytes.split()`` cuts at exactly these six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_own_scratch: str | None = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark alone so that any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
-    global _own_scratch
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_scratch is None:
-        _own_scratch = "file://" + tempfile.mkdtemp(prefix="veriledger-")
-    return _own_scratch
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/veriledger/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs the rereading of files, and values that depend
-    on how rows met in a task (partition ids, running offsets) are fixed from here on.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(batch: pa.RecordBatch, column: str, start: int, size: int) -> list[bytes]:
     """UTF-8 bytes of rows of a string column; null reads as empty."""
     part = batch.column(batch.schema.get_field_index(column)).slice(start, size)
