@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, norm, recon  # noqa: F401  these register their queries
+from . import evaluation, norm, recon, retrieval  # noqa: F401  these register their queries
 from .base import ORACLES, QUERIES, Query
 
 
