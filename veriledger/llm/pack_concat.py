@@ -56,7 +56,7 @@ class WordCache:
     is full it becomes the old one, and a piece found there moves back, so frequent pieces stay.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -103,7 +103,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, local = word_cache(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for start, size in slices(b, "text", 2_000_000):
+            for start, size in slices(b, "text", 8_000_000):
                 ids = [x + end for x in cache.encode(text_bytes(b, "text", start, size))]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 offsets = local + np.cumsum(n) - n
