@@ -29,7 +29,7 @@ def recover(jobs: DataFrame) -> DataFrame:
 def timeouts(events: DataFrame, key: str, limits: dict[str, int], stage: str = "event_type") -> DataFrame:
     """Stages that lasted beyond their limit, from each stage's row to the key's next row."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
-    seconds = micros(F.lead("ts").over(w)) / 1e6 - micros("ts") / 1e6
+    seconds = (micros(F.lead("ts").over(w)) - micros("ts")) / 1e6
     most = F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col(stage))
     return events.withColumn("seconds", F.round(seconds, 3)).withColumn("limit", most).where(F.col("seconds") > F.col("limit"))
 
