@@ -17,7 +17,7 @@ the score is 0.5, with one class a smoothed prior.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -53,13 +53,13 @@ def windows(text: bytes) -> list[list[bytes]]:
     return [list(dict.fromkeys(words[k : k + WINDOW])) for k in range(0, len(words), WINDOW)]
 
 
-def gram_table(words: list[bytes], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def gram_table(words: list[bytes], step: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
     """How many distinct buckets each word has, and all words' buckets in a row."""
-    sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for at in range(0, len(words), step):
         grams = [list(dict.fromkeys(subwords(w))) for w in words[at : at + step]]
         sizes.append(np.fromiter(map(len, grams), np.int64, len(grams)))
-        flat.append(np.fromiter((g for gs in grams for g in gs), np.int64, int(sizes[-1].sum())))
+        flat.append(np.fromiter((g for gs in grams for g in gs), np.int32, int(sizes[-1].sum())))
     return np.concatenate(sizes), np.concatenate(flat)
 
 
@@ -99,8 +99,8 @@ class SubwordModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, docs: list[list[list[bytes]]], labels: list[int], prior: float, dim: int = 12, epochs: int = 8, rate: float = 1.0, batch: int = 64, min_docs: int = 5, floor: float = 1e-4, seed: int = 11) -> SubwordModel:
-        """Softmax cross-entropy with AdaGrad steps on embeddings, weights and biases together. ``docs``: the windows of each text.
+    def fit(cls, docs: Iterable[list[list[bytes]]], labels: list[int], prior: float, dim: int = 12, epochs: int = 8, rate: float = 1.0, batch: int = 64, min_docs: int = 5, floor: float = 1e-4, seed: int = 11) -> SubwordModel:
+        """Softmax cross-entropy with AdaGrad steps on embeddings, weights and biases together. ``docs``: the windows of each text, taken one text at a time.
 
         N-grams met in fewer than ``min_docs`` texts stay zero, and ``floor`` keeps AdaGrad from large steps on rare ones.
         Both classes weigh the same, as a missed toxic text costs more than a false alarm; ``prior``, the toxic share among all labels, serves only
@@ -117,6 +117,7 @@ class SubwordModel:
             rows.append((np.array([ids.setdefault(w, len(ids)) for win in d for w in win], np.int32), np.array([len(win) for win in d], np.int32)))
         sizes, flat = gram_table(list(ids))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
+        del ids
         met = np.zeros(N_BUCKETS, np.int64)
         for words, _ in rows:
             vocab = np.unique(words)
@@ -199,9 +200,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "tox
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).slice(start, size).cast(pa.int64()), b.column(b.schema.get_field_index("_y")).slice(start, size).cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "y", "windows"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(bags, "doc_id long, y int, windows binary")
-    got = sorted((r.doc_id, r.y, bytes(r.windows)) for r in sample.toLocalIterator())
+    got = sorted(((r.doc_id, r.y, bytes(r.windows)) for r in sample.toLocalIterator()), reverse=True)
+    labels_ = [y for _, y, _ in reversed(got)]
     prior = (totals["bad"] or 0) / totals["n"] if totals["n"] else 0.5
-    return SubwordModel.fit([[line.split() for line in w.split(b"\n")] if w else [] for _, _, w in got], [y for _, y, _ in got], prior)
+
+    def texts() -> Iterator[list[list[bytes]]]:
+        while got:  # each text is let go once it has been read
+            packed = got.pop()[2]
+            yield [line.split() for line in packed.split(b"\n")] if packed else []
+
+    return SubwordModel.fit(texts(), labels_, prior)
 
 
 def score(docs: DataFrame, model: SubwordModel, held_out: F.Column, threshold: float = 0.5) -> DataFrame:
