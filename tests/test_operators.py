@@ -1,0 +1,151 @@
+"""Cases that SQL twins do not reach: feedback in windows, Unicode, thresholds, order of rules."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from veriledger.functions import normalise as N
+from veriledger.operators import answers, evaluate, grounding, ranking, retrieve, review, state
+
+
+def run(spark, raw, kind, **kw):
+    df = spark.createDataFrame([(raw,)], "raw string").select(N.normalise(F.col("raw"), kind, spark, **kw).alias("r"))
+    return tuple(df.first().r)
+
+
+@pytest.mark.parametrize(
+    ("raw", "kind", "value"),
+    [
+        ("2,345.67", "number", "2345.67"), ("2.345,67", "number", "2345.67"), ("5 678,90", "number", "5678.90"), ("(41.20)", "number", "-41.20"), ("€ 7.5", "number", "7.5"), ("007.50", "number", "7.50"),
+        ("17 Mar 2025", "date", "2025-03-17"), ("2nd May 2024", "date", "2024-05-02"), ("25/12/2024", "date", "2024-12-25"), ("Apr. 3, 2024", "date", "2024-04-03"), ("2024년 3월 5일", "date", "2024-03-05"),
+        ("US$", "currency", "USD"), ("€", "currency", "EUR"), ("ＡＣＭＥ　Ltd", "text", "ACME Ltd"), ("the Netherlands", "country", "NL"), ("Republic of Turkey", "country", "TR"), ("KGS", "unit", "kg"),
+    ],
+)
+def test_accepted_values(spark, raw, kind, value):
+    assert run(spark, raw, kind) == (value, None)
+
+
+@pytest.mark.parametrize(
+    ("raw", "kind", "issue"),
+    [
+        ("2,345", "number", "ambiguous_number_separator"), ("1,2,3.00", "number", "invalid_grouping"), ("05/06/2024", "date", "ambiguous_or_invalid_date"), ("2025-02-31", "date", "ambiguous_or_invalid_date"),
+        ("3th May 2024", "date", "invalid_day_ordinal"), ("$", "currency", "ambiguous_or_unsupported_currency"), ("  ", "text", "empty_value"), ("---", "party", "punctuation_only_value"), ("x", "shape", "unsupported_kind"), (None, "number", "empty_value"),
+    ],
+)
+def test_withheld_values(spark, raw, kind, issue):
+    assert run(spark, raw, kind) == (None, issue)
+
+
+def test_configured_order_and_mark(spark):
+    assert run(spark, "05/06/2024", "date", order="DMY") == ("2024-06-05", None)
+    assert run(spark, "05/06/2024", "date", order="MDY") == ("2024-05-06", None)
+    assert run(spark, "2,345", "number", decimal_mark=".") == ("2345", None)
+
+
+def test_hangul_tokens_and_keys(spark):
+    df = spark.createDataFrame([("금액 ABC 12",), ("Café-Été",)], "t string")
+    rows = df.select(N.lexical_tokens(F.col("t")).alias("a"), N.vocabulary_key(F.col("t")).alias("k")).collect()
+    assert rows[0].a == ["금액", "abc", "12", "금액"] and rows[1].k == "cafeete"
+
+
+def test_rate_limit_ignores_rejected_attempts(spark):
+    times = [0, 10, 20, 30, 301, 309, 311]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "user_id long, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: r.allowed for r in state.rate_limit(df, "user_id", limit=3, seconds=300).collect()}
+    queue, want = [], {}
+    for i, t in enumerate(times):
+        queue = [x for x in queue if x > t - 300]
+        want[i] = len(queue) < 3
+        if want[i]:
+            queue.append(t)
+    assert got == want
+
+
+def test_cache_lives_from_its_write(spark):
+    times = [0, 1000, 1799, 1800, 2000]
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(times)], "k string, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = [r.hit for r in state.cache_hits(df, "k").orderBy("event_id").collect()]
+    assert got == [False, True, True, False, True]
+
+
+CHECK = "transaction_id string, check_id string, type string, event string, left_doc string, left_field string, left_value string, right_doc string, right_field string, right_value string, left_unit string, right_unit string, status string, reason string, has_review boolean"
+
+
+def ruled(spark, rows):
+    full = [("T", f"c{i}", *r) for i, r in enumerate(rows)]
+    return [r.rule_status for r in review.with_rule_status(spark.createDataFrame(full, CHECK)).orderBy("check_id").collect()]
+
+
+def test_waivers(spark):
+    missing = ("cannot_evaluate", "required_value_missing")
+    ref = lambda k, l, r, st, why, rev=False: (f"reference_{k}", "", "commercial_invoice", k, l, "packing_list", k, r, None, None, st, why, rev)  # noqa: E731, E741
+    assert ruled(spark, [ref("buyer_reference", None, None, *missing)]) == ["MISSING"]  # nothing links the documents
+    assert ruled(spark, [ref("buyer_reference", None, None, *missing), ref("invoice_number", "1", "1", "pass", None)]) == ["NOT_APPLICABLE", "PASS"]
+    assert ruled(spark, [ref("buyer_reference", None, None, *missing, True), ref("invoice_number", "1", "1", "pass", None)]) == ["MISSING", "PASS"]
+    assert ruled(spark, [ref("buyer_reference", "a", "b", "flag", "different_values"), ref("invoice_number", "1", "1", "pass", None)]) == ["FAIL", "PASS"]
+    assert ruled(spark, [("made_up", "", None, None, None, None, None, None, None, None, "pass", None, False)]) == ["REVIEW"]
+    weight = lambda l, r: ("item_gross_weight_comparison", "", "commercial_invoice", "gross_weight", l, "packing_list", "gross_weight", r, None, None, *missing, False)  # noqa: E731, E741
+    assert ruled(spark, [weight(None, "3"), weight("3", None), weight(None, None)]) == ["NOT_APPLICABLE", "MISSING", "NOT_APPLICABLE"]
+
+
+def test_wrong_value_counts_twice(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", None), (None, "b"), ("a", "a"), (None, None)], "e string, g string")
+    c = evaluate.confusion(F.col("e"), F.col("g"), F.col("e").eqNullSafe(F.col("g")))
+    r = df.agg(*(v.alias(k) for k, v in c.items())).first()
+    assert (r.tp, r.fp, r.fn, r.tn) == (1, 2, 2, 1)
+    assert evaluate.with_rates(spark.createDataFrame([(0, 0, 0)], "tp long, fp long, fn long")).first().precision is None
+
+
+def test_budget_skips_and_goes_on(spark):
+    rows = spark.createDataFrame([("g", 1, "x" * 4000), ("g", 2, "x" * 3000), ("g", 3, "x" * 6000), ("g", 4, "x" * 2000), ("g", 5, "x" * 100), ("g", 6, "x")], "g string, id long, text string")
+    assert [r.id for r in retrieve.greedy_budget(rows, "g", [F.col("id")], "text").orderBy("place").collect()] == [1, 4, 5]
+
+
+def test_bm25l_constant_reaches_every_match(spark):
+    passages = spark.createDataFrame([(1, "a b c"), (2, "a a a"), (3, "z")], "id long, text string")
+    queries = spark.createDataFrame([(1, "a b")], "qid long, text string")
+    got = {r.id: r.score for r in retrieve.bm25l(passages, queries).collect()}
+    import math
+
+    def full(doc, n=3, avg=7 / 3):
+        s = 0.0
+        for t, df in (("a", 2), ("b", 1)):
+            ctd = doc.count(t) / (1 - 0.75 + 0.75 * len(doc) / avg)
+            s += math.log((n + 1) / (df + 0.5)) * 2.5 * (ctd + 0.5) / (1.5 + ctd + 0.5)
+        return s
+
+    assert got == pytest.approx({1: full(["a", "b", "c"]), 2: full(["a", "a", "a"])}, abs=1e-5)
+
+
+def test_replacing_one_document_leaves_the_rest(spark, tmp_path):
+    store = str(tmp_path / "store")
+    spark.createDataFrame([(1, "old"), (2, "kept")], "doc_id long, content string").write.partitionBy("doc_id").parquet(store)
+    retrieve.replace_documents(store, spark.createDataFrame([(1, "new")], "doc_id long, content string"))
+    assert {(r.doc_id, r.content) for r in spark.read.parquet(store).collect()} == {(1, "new"), (2, "kept")}
+
+
+@pytest.mark.parametrize("scale", [0.6, 1.0, 1.8])
+def test_tables_do_not_depend_on_scale(spark, scale):
+    rows = [("PACKING LIST", 20, 20, 300), ("Description", 20, 110, 220), ("Quantity", 330, 110, 140), ("Net Weight", 520, 112, 180), ("Brass hinge", 20, 180, 200), ("24", 330, 180, 50), ("9.5 KG", 520, 181, 100), ("Remarks", 20, 300, 90)]
+    tokens = spark.createDataFrame([(1, 1, i, t, x * scale, y * scale, w * scale, 18 * scale, 0.9) for i, (t, x, y, w) in enumerate(rows)], "doc_id long, page int, tid int, text string, x double, y double, w double, h double, confidence double")
+    vocabulary = {"description": "description", "quantity": "quantity", "netweight": "net_weight"}
+    got = {(r.row, r.field, r.text) for r in grounding.table_rows(tokens, vocabulary).collect()}
+    assert got == {(0, "description", "Brass hinge"), (0, "quantity", "24"), (0, "net_weight", "9.5 KG")}
+
+
+def test_claims(spark):
+    df = spark.createDataFrame([("It is 1,200.50 usd and 3 KG", "1200.5 USD")], "t string, e string")
+    assert df.select(answers.unsupported_claims(F.col("t"), F.col("e")).alias("x")).first().x == ["3 KG"]
+
+
+def test_global_ordinal(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    got = {r.v: r.n for r in ranking.global_ordinal(df, ["v"], "n").collect()}
+    assert got == {v: v + 1 for v in range(1000)}
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], CHECK)
+    assert review.transactions(review.areas(review.with_rule_status(none))).count() == 0
+    assert review.findings(review.with_rule_status(none)).count() == 0

@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spellings of units and the code each stands for.
 UNITS = {
@@ -42,12 +43,12 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _key(s: pd.Series) -> pd.Series:
     def fold(x: str | None) -> str | None:
         if x is None:
