@@ -2,9 +2,8 @@
 
 The comparison engine of the original is not visible; the rules here follow the contract that
 its consumers show, and docstrings say where a rule is inferred. All comparisons of a
-transaction are made from one grouping by transaction: its cells become one map of bounded
-size (documents x fields), and the rule list is exploded against it, so there is one shuffle
-however many rules there are.
+transaction are made from one grouping by transaction: its documents come onto one row, and the
+rule list is exploded against it, so there is one shuffle however many rules there are.
 """
 
 from __future__ import annotations
@@ -36,9 +35,6 @@ def comparison_rules() -> list[tuple]:
     return [(n, *r) for n, r in enumerate(rules, 1)]
 
 
-RULE_COLUMNS = ("rule_no", "type", "event", "left_doc", "left_field", "right_doc", "right_field", "left_unit", "right_unit")
-
-
 def cells(documents: DataFrame, fields: list[str], status: Column | None = None) -> DataFrame:
     """Wide documents to one row a cell, in one pass over the documents."""
     keep = [c for c in ("tx", "document_type", "entity_id", "product_code") if c in documents.columns]
@@ -47,10 +43,6 @@ def cells(documents: DataFrame, fields: list[str], status: Column | None = None)
     return documents.select(*keep, status.alias("status"), F.explode(pieces).alias("c")).select(*keep, "status", "c.field", "c.value")
 
 
-def unpivot_ledger(ledger: DataFrame, fields: list[str]) -> DataFrame:
-    return cells(ledger.withColumns({"document_type": F.lit("ledger"), "entity_id": F.concat(F.lit("ledger-"), F.col("tx").cast("string"))}), fields)
-
-
 def links(ledger: DataFrame, documents: DataFrame) -> DataFrame:
     """Link documents to ledger rows by an explicit shared reference number (inferred rule).
 
@@ -96,20 +88,42 @@ def status_of(left: Column, right: Column, left_status: Column, right_status: Co
     return status, reason
 
 
-def checks(all_cells: DataFrame) -> DataFrame:
-    """One row a transaction and rule whose two documents are linked: values, units, status, reason."""
-    by_tx = all_cells.groupBy("tx").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "document_type", "field"), F.struct("value", "status", "entity_id")))).alias("m"))
-    rules = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(RULE_COLUMNS, r))) for r in comparison_rules()))
-    rows = by_tx.select("tx", "m", F.explode(rules).alias("r")).select("tx", "m", "r.*")
-    at = lambda doc, field: F.try_element_at("m", F.concat_ws("/", doc, field))
-    rows = rows.withColumns({"l": at("left_doc", "left_field"), "r": at("right_doc", "right_field"), "lu": at("left_doc", "left_unit"), "ru": at("right_doc", "right_unit")})
-    rows = rows.where("l IS NOT NULL AND r IS NOT NULL").where("event NOT IN ('buyer', 'seller') OR m['ledger/counterparty_role'].value = event")
-    status, reason = status_of(F.col("l.value"), F.col("r.value"), F.col("l.status"), F.col("r.status"), F.col("left_unit") != "", F.col("lu.value"), F.col("ru.value"))
+def checks(ledger: DataFrame, documents: DataFrame, extraction: str = "extraction_status") -> DataFrame:
+    """One row a transaction and rule whose two documents are linked: values, units, status, reason.
+
+    Documents of a transaction are brought onto its row by one grouping (a struct a document type,
+    reduced in the map tasks), the ledger is joined on the same key, and every rule is then a pair
+    of plain column references, exploded from an array of fixed size.
+    """
+    kinds = sorted({d for r in comparison_rules() for d in (r[3], r[5])} - {"ledger"})
+    names = sorted({f for r in comparison_rules() for f in (r[4], r[6], r[7], r[8]) if f and f in documents.columns})
+    whole = F.struct(*(F.col(n) for n in names), F.col(extraction).alias("st"))
+    sides = documents.groupBy("tx").agg(*(F.first(F.when(F.col("document_type") == k, whole), ignorenulls=True).alias(k) for k in kinds))
+    ledger_names = [c for c in ledger.columns if c not in ("tx", "transaction_id")]
+    wide = ledger.select("tx", "transaction_id", F.struct(*ledger_names, F.lit("accepted").alias("st")).alias("ledger")).join(sides, "tx")
+
+    def value(doc: str, field: str) -> Column:
+        known = field in (ledger_names if doc == "ledger" else names)
+        return F.col(f"{doc}.{field}").cast("string") if field and known else F.lit(None).cast("string")
+
+    def one(rule: tuple) -> Column:
+        no, kind, event, ld, lf, rd, rf, lu, ru = rule
+        there = F.col(ld).isNotNull() & F.col(rd).isNotNull()
+        if event in ("buyer", "seller"):
+            there = there & (F.col("ledger.counterparty_role") == event)
+            event = ""
+        row = {
+            "rule_no": F.lit(no), "type": F.lit(kind), "event": F.lit(event), "left_doc": F.lit(ld), "left_field": F.lit(lf), "left_value": value(ld, lf), "right_doc": F.lit(rd), "right_field": F.lit(rf), "right_value": value(rd, rf),
+            "has_unit": F.lit(lu != ""), "left_unit": value(ld, lu), "right_unit": value(rd, ru), "lst": F.col(f"{ld}.st"), "rst": F.col(f"{rd}.st"),
+        }
+        return F.when(there, F.struct(*(c.alias(n) for n, c in row.items())))
+
+    rows = wide.select("transaction_id", F.explode(F.array_compact(F.array(*map(one, comparison_rules())))).alias("r")).select("transaction_id", "r.*")
+    status, reason = status_of(*(F.col(c) for c in ("left_value", "right_value", "lst", "rst", "has_unit", "left_unit", "right_unit")))
+    unsure = (F.coalesce("lst", F.lit("")) == "review") | (F.coalesce("rst", F.lit("")) == "review")
     return rows.select(
-        F.concat(F.lit("T"), F.col("tx").cast("string")).alias("transaction_id"), F.concat(F.lit("T"), F.col("tx").cast("string"), F.lit(":"), F.col("rule_no").cast("string")).alias("check_id"), "type",
-        F.when(F.col("event").isin("buyer", "seller"), "").otherwise(F.col("event")).alias("event"), "left_doc", "left_field", F.col("l.value").alias("left_value"), "right_doc", "right_field", F.col("r.value").alias("right_value"),
-        F.col("lu.value").alias("left_unit"), F.col("ru.value").alias("right_unit"), status.alias("status"), reason.alias("reason"),
-        ((F.coalesce(F.col("l.status"), F.lit("")) == "review") | (F.coalesce(F.col("r.status"), F.lit("")) == "review")).alias("has_review"),
+        "transaction_id", F.concat_ws(":", "transaction_id", F.col("rule_no").cast("string")).alias("check_id"), "type", "event", "left_doc", "left_field", "left_value", "right_doc", "right_field", "right_value",
+        "left_unit", "right_unit", status.alias("status"), reason.alias("reason"), unsure.alias("has_review"),
     )
 
 

@@ -26,8 +26,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def checks(spark: SparkSession, sf: str) -> DataFrame:
-    cells = R.cells(documents(spark, sf), trade.DOCUMENT_FIELDS, F.col("extraction_status")).unionByName(R.unpivot_ledger(ledger(spark, sf), trade.LEDGER_FIELDS))
-    return R.checks(cells)
+    return R.checks(ledger(spark, sf), documents(spark, sf))
 
 
 def all_checks(spark: SparkSession, sf: str) -> DataFrame:

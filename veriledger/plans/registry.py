@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, grounded, norm, recon, retrieval, service  # noqa: F401  these register their queries
+from . import evaluation, grounded, intake, norm, recon, retrieval, service  # noqa: F401  these register their queries
 from .base import ORACLES, QUERIES, Query
 
 
