@@ -127,19 +127,21 @@ def metadata_filter(passages: DataFrame, exact: dict[str, str], part: dict[str,
 def greedy_budget(rows: DataFrame, group: str, order: list[Column], text: str, each: int = 5000, total: int = 6500, most: int = 3) -> DataFrame:
     """In order, take passages while they fit: one too long, or that would pass the total, is skipped and the next is tried.
 
-    A fold over the group's sorted candidates; a running sum would stop at the first that does not
-    fit. Only ids and lengths are gathered.
+    A running sum would stop at the first that does not fit. Each of the ``most`` rounds finds every
+    group's first passage after the last one taken that still fits, as a minimum that is reduced in
+    the map tasks, so no group is gathered anywhere however large it is. ``order`` is ascending and total.
     """
-    items = F.transform(F.array_sort(F.collect_list(F.struct("_o", "id", F.length(text).alias("size")))), lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size")))
-    ranked = rows.withColumn("_o", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).alias("size"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (x["size"] <= each) & (acc["size"] + x["size"] <= total) & (F.size(acc["ids"]) < most)
-        return F.when(fits, F.struct(F.array_append(acc["ids"], x["id"]).alias("ids"), (acc["size"] + x["size"]).alias("size"))).otherwise(acc)
-
-    folded = ranked.groupBy(group).agg(F.aggregate(items, start, step).alias("a"))
-    return folded.select(group, F.posexplode("a.ids").alias("place", "id"))
+    keyed = rows.select(F.col(group).alias("_g"), "id", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("_o"), F.length(text).alias("size")).where(F.col("size") <= each)
+    first = lambda df: df.groupBy("_g").agg(F.min(F.struct("_o", "id", "size")).alias("b"))
+    taken = first(keyed.where(F.col("size") <= total)).select("_g", F.lit(0).alias("place"), "b.id", F.col("b._o").alias("last"), F.col("b.size").alias("used"))
+    out = taken
+    for place in range(1, most):
+        state = taken.select(F.col("_g").alias("_sg"), "last", "used")
+        fits = keyed.join(state, F.col("_g").eqNullSafe(F.col("_sg"))).where((F.col("_o") > F.col("last")) & (F.col("used") + F.col("size") <= total)).select("_g", "id", "_o", "size", "used")
+        best = fits.groupBy("_g", "used").agg(F.min(F.struct("_o", "id", "size")).alias("b"))
+        taken = best.select("_g", F.lit(place).alias("place"), "b.id", F.col("b._o").alias("last"), (F.col("used") + F.col("b.size")).alias("used"))
+        out = out.unionByName(taken)
+    return out.select(F.col("_g").alias(group), "place", "id")
 
 
 def multi_query(hits: DataFrame, texts: DataFrame, most_queries: int = 4, per_query: int = 10) -> DataFrame:

@@ -136,7 +136,7 @@ SELECT source, CAST(i - 1 AS INTEGER) AS place, a.ids[i] AS id FROM (SELECT sour
 def retrieve_greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
     """RT-15 and RT-17: skip what does not fit and go on."""
     rows = table(spark, sf, "documents").where("text IS NOT NULL").select("source", F.col("doc_id").alias("id"), "text")
-    return T.greedy_budget(rows, "source", [F.desc(F.length("text") % 7), F.length("text"), F.col("id")], "text")
+    return T.greedy_budget(rows, "source", [-(F.length("text") % 7), F.length("text"), F.col("id")], "text")
 
 
 @query(f"""WITH {_BM}, h AS (SELECT qid // 10 AS question, qid % 10 // 5 AS query_no, id, rank FROM {_RANKED('bm', 30)}), b AS (SELECT question, id, min(rank) AS rank FROM h WHERE query_no < 4 AND rank <= 10 GROUP BY ALL),
