@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rooted = component_table(fps)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = fps.groupBy("fp").agg(F.min(rank).alias("rank")).join(rooted, "fp").groupBy("root").agg(F.min("rank").alias("rank"))
-    kept = first.select(F.col("rank.doc_id").alias("_kept_id"), F.col("rank.text_hash").alias("_kept_hash")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows["_hash"] == kept["_kept_hash"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    kept = first.select(F.col("rank.doc_id").alias("__kept_id"), F.col("rank.text_hash").alias("__kept_hash")).distinct()
+    rows = docs.withColumn("__row_hash", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__kept_id"]) & (rows["__row_hash"] == kept["__kept_hash"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__row_hash"]).drop("__row_hash")
