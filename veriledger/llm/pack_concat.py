@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +35,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A full stop or comma that ends a word of ASCII letters is a token of its own wherever it stands.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+#: ASCII marks that close a word after an ASCII or Latin letter or a digit are one token's text wherever they stand. The dotted capital I is left out: lowered, it ends in a combining mark.
+_CLOSING = re.compile("([!-/:-@\\[-`{-~](?<=[a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f].)[!-/:-@\\[-`{-~]*)(?=[\\x20\\x09-\\x0D]|\\Z)")
+
+
+#: Runs of ASCII and Latin letters that lower-casing and composition leave as they are.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
 
 
 def pieces(text: bytes) -> list[bytes]:
-    """White-space words of a text, A-Z lower-cased and a closing stop or comma parted: what the tokenizer does itself, done first so that fewer distinct pieces are left.
+    """White-space words of a text, A-Z lower-cased and closing marks parted: what the tokenizer does itself, done first so that fewer distinct pieces are left.
 
     A text that may hold a special token's name is cut at white space alone, as such names are matched before letters are lowered.
     """
-    return text.split() if b"<|" in text else _STOP.sub(rb" \1", text.lower()).split()
+    return text.split() if b"<|" in text else _CLOSING.sub(r" \1", text.lower().decode("utf-8")).encode("utf-8").split()
 
 
 class WordCache:
@@ -63,6 +66,9 @@ class WordCache:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.ids: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a run of letters
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text, without the end id."""
@@ -72,15 +78,26 @@ class WordCache:
         new = set().union(*split).difference(self.ids)
         kept = new.intersection(self.old)
         self.ids.update((w, self.old[w]) for w in kept)
-        unseen = list(new - kept)
-        for at in range(0, len(unseen), 2_000):
-            part = unseen[at : at + 2_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                x = e.ids
-                self.ids[w] = _PACK[len(x)](*x) if len(x) < len(_PACK) else np.array(x, "<u4").tobytes()
+        unseen = new - kept
+        plain = [w for w in unseen if _LETTERS.fullmatch(w.decode("utf-8"))]
+        for at in range(0, len(plain), 1_000):
+            part = plain[at : at + 1_000]
+            # Runs of letters in one text: each ends in an id that closes it, so one call serves them all.
+            ids = np.array(self._encode([b" ".join(part)])[0], "<u4")
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                self.ids.update(zip(part, (data[i:j] for i, j in zip([0, *ends], ends))))
+        rest = list(unseen.difference(self.ids))
+        for at in range(0, len(rest), 1_000):
+            part = rest[at : at + 1_000]
+            self.ids.update(zip(part, (np.array(x, "<u4").tobytes() for x in self._encode(part))))
         get = self.ids.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+
 
 _caches: dict[str, WordCache] = {}
 
@@ -92,10 +109,6 @@ def word_cache(path: str) -> WordCache:
     return _caches[path]
 
 
-#: Packers of few ids, quicker than an array for each word.
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
-
-
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids, n, part, local): ids as bytes with the end id, the task and the offset inside it."""
     end = np.array([end_id], "<u4").tobytes()
