@@ -295,6 +295,13 @@ def test_pieces_keep_the_tokenizers_ids(text):
         assert np.frombuffer(cache.encode([text.encode()])[0], "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_on_random_text():
+    cache, rng = pack_concat.WordCache(pack_concat.default_tokenizer()), random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choices("aB9é.ß,!'\"_-—²½Ⅳ\u0301 \n\t\x1c\u3000\xa0<|>$%İΣςs tÀŉſ", k=rng.randint(1, 25)))
+        assert np.frombuffer(cache.encode([text.encode()])[0], "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # ---- op8 --------------------------------------------------------------------------------------
 
 
