@@ -59,7 +59,7 @@ class WordCache:
     is full it becomes the old one, and a piece found there moves back, so frequent pieces stay.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
