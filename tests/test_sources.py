@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from veriledger.operators import catalogues
-from veriledger.sources import readers
+from veriledger.sources import readers, scratch
 from veriledger.streaming import rules
 
 
@@ -51,3 +52,11 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert [r.allowed for r in spark.table("limited").orderBy("event_id").collect()] == [True, True, True, False, True, True]
     assert sorted(r.n for r in spark.table("counted").collect()) == [2, 4]
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    df = scratch.materialise(spark.range(3).withColumnRenamed("id", "n"), "test")
+    assert df.count() == 3
+    at = df.inputFiles()[0].rsplit("/", 1)[0]
+    scratch.drop_all(spark)
+    assert not os.path.exists(at.removeprefix("file://"))

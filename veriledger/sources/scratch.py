@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -22,7 +23,16 @@ def root(spark: SparkSession) -> str:
 
 
 def path(spark: SparkSession, label: str) -> str:
-    return f"{root(spark)}/veriledger/{label}-{uuid.uuid4().hex}"
+    at = f"{root(spark)}/veriledger/{label}-{uuid.uuid4().hex}"
+    _made.append(at)
+    return at
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete the tables written so far by this driver; results that still read them have to be stored first."""
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
