@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as T
-from .base import plain, query, table, view
+from .base import ORACLES, Query, plain, query, table, view
 
 #: Paragraph texts made from orders, one document a customer: numbered lines, some repeated, some empty, some with none.
 STANDARDS = """
@@ -85,9 +85,11 @@ _DENSE = """qv AS (SELECT vec_id / 50 * 5 AS qid, embedding AS qvec FROM embeddi
 _RANKED = lambda t, k: f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {t} QUALIFY rank <= {k})"
 
 
-def lexical(spark: SparkSession, sf: str) -> DataFrame:
+def lexical(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """BM25L scores of every fifth benchmark row, as the twins' filter has it, or of every one."""
+    items = table(spark, sf, "benchmark")
     passages = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    return T.bm25l(passages, table(spark, sf, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("qid"), "text"))
+    return T.bm25l(passages, (items if whole else items.where("item_id % 5 = 0")).select(F.col("item_id").alias("qid"), "text"))
 
 
 def dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,9 +98,9 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {_BM} SELECT qid, id, score FROM bm")
-def retrieve_bm25l(spark: SparkSession, sf: str) -> DataFrame:
+def retrieve_bm25l(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """RT-08: scores of every passage that holds a term of the query."""
-    return lexical(spark, sf)
+    return lexical(spark, sf, whole)
 
 
 @query(f"WITH {_DENSE} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM {_RANKED('de', 30)}")
@@ -109,17 +111,17 @@ def retrieve_dense_top(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_BM}, {_DENSE}, u AS (SELECT qid, id, 1.0 / (60 + rank) AS s FROM {_RANKED('bm', 30)} UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM {_RANKED('de', 30)}), r AS (SELECT qid, id, round(sum(CAST(s AS DOUBLE)), 8) AS score FROM u GROUP BY ALL)
 SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM {_RANKED('r', 30)}""")
-def retrieve_rrf(spark: SparkSession, sf: str) -> DataFrame:
+def retrieve_rrf(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """RT-10: a top-k report."""
-    return T.rrf(lexical(spark, sf), dense(spark, sf), k=30)
+    return T.rrf(lexical(spark, sf, whole), dense(spark, sf), k=30)
 
 
 @query(f"""WITH {_BM}, c AS (SELECT qid, id FROM {_RANKED('bm', 30)}), x AS (SELECT c.qid, c.id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS w, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS bt, regexp_extract_all(lower(split_part(d.text, chr(10), 1)), '[a-z0-9]+') AS tt FROM c JOIN benchmark b ON b.item_id = c.qid JOIN documents d ON d.doc_id = c.id),
 s AS (SELECT qid, id, len(list_intersect(w, bt)) / greatest(len(w), 1) AS b, len(list_intersect(w, tt)) / greatest(len(w), 1) AS t FROM x), r AS (SELECT qid, id, round(b * 0.6 + t * 0.3, 6) AS score FROM s WHERE b > 0 OR t > 0) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM {_RANKED('r', 4)}""")
-def retrieve_rerank(spark: SparkSession, sf: str) -> DataFrame:
+def retrieve_rerank(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """RT-11: a top-k report."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.element_at(F.split("text", "\n"), 1).alias("title"))
-    cand = T.top(lexical(spark, sf), 30).select("qid", "id").join(docs, "id").join(F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))), "qid")
+    cand = T.top(lexical(spark, sf, whole), 30).select("qid", "id").join(docs, "id").join(F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))), "qid")
     return T.rerank(cand.withColumn("cosine", F.lit(None).cast("double")), 4)
 
 
@@ -141,17 +143,18 @@ def retrieve_greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_BM}, h AS (SELECT qid // 10 AS question, qid % 10 // 5 AS query_no, id, rank FROM {_RANKED('bm', 30)}), b AS (SELECT question, id, min(rank) AS rank FROM h WHERE query_no < 4 AND rank <= 10 GROUP BY ALL),
 k AS (SELECT question, sha256(regexp_replace(text, '[\\s\\x0B]+', '', 'g')) AS h, id, rank FROM b JOIN documents ON doc_id = id), m AS (SELECT *, row_number() OVER (PARTITION BY question, h ORDER BY rank, id) AS n FROM k) SELECT question, id, CAST(rank AS INTEGER) AS rank FROM m WHERE n = 1""")
-def retrieve_multi_query(spark: SparkSession, sf: str) -> DataFrame:
+def retrieve_multi_query(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """RT-17 and RT-18: several queries of a question, best rank, one of equal texts."""
-    hits = T.top(lexical(spark, sf), 30).select(F.expr("qid div 10").alias("question"), F.expr("(qid % 10) div 5").alias("query_no"), "id", "rank")
+    question, query_no = ("qid div 4", "qid % 4") if whole else ("qid div 10", "(qid % 10) div 5")
+    hits = T.top(lexical(spark, sf, whole), 30).select(F.expr(question).alias("question"), F.expr(query_no).alias("query_no"), "id", "rank")
     return T.multi_query(hits, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query(f"""WITH {_BM}, c AS (SELECT qid, id, d.text, b.text AS q FROM {_RANKED('bm', 30)} r JOIN documents d ON d.doc_id = r.id JOIN benchmark b ON b.item_id = r.qid WHERE length(d.text) BETWEEN 35 AND 1200 AND regexp_matches(trim(d.text), '[.!?]$')),
 s AS (SELECT qid, text, min(id) AS id, max(len(list_intersect(list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')), regexp_extract_all(lower(text), '[a-z0-9]+')))) AS score FROM c GROUP BY ALL) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM {_RANKED('s', 2)}""")
-def retrieve_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+def retrieve_excerpts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """RT-22: a top-k report."""
-    cand = T.top(lexical(spark, sf), 30).select("qid", "id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    cand = T.top(lexical(spark, sf, whole), 30).select("qid", "id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return T.excerpts(cand.join(F.broadcast(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))), "qid"))
 
 
@@ -190,21 +193,45 @@ def source_incremental_sync(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT doc_id AS hit_id, doc_id, length(text) // 2 AS start, substr(text, length(text) // 2 + 1, 80) AS slice, text FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0) SELECT hit_id, doc_id, sha256(substr(CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, greatest(start - 1200, 0) + 1, start - greatest(start - 1200, 0) + length(slice) + 1600) END, 1, 14000)) AS context FROM h""")
-def retrieve_parent_window(spark: SparkSession, sf: str) -> DataFrame:
+def retrieve_parent_window(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """RT-14: the slice is verified before its surroundings are given."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")
     half = F.expr("length(text) div 2")
-    hits = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("hit_id"), "doc_id", half.cast("int").alias("start"), F.substr("text", (half + 1).cast("int"), F.lit(80)).alias("slice"))
+    hits = (d if whole else d.where("doc_id % 3 = 0")).select(F.col("doc_id").alias("hit_id"), "doc_id", half.cast("int").alias("start"), F.substr("text", (half + 1).cast("int"), F.lit(80)).alias("slice"))
     return T.parent_window(hits, d, whole=2000).withColumn("context", F.sha2("context", 256))
 
 
 @query(f"""WITH {_BM}, r AS (SELECT * FROM {_RANKED('bm', 30)}) SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE d.source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END, score DESC, id) AS INTEGER) AS place FROM r JOIN documents d ON d.doc_id = r.id""")
-def retrieve_authority(spark: SparkSession, sf: str) -> DataFrame:
+def retrieve_authority(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """RT-12: after relevance, source type and then score."""
     from pyspark.sql import Window
 
-    rows = T.top(lexical(spark, sf), 30).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    rows = T.top(lexical(spark, sf, whole), 30).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     kind = T.authority_order(F.when(F.col("source") == "src0", "standard").when(F.col("source") == "src1", "qna").otherwise("case"))
     return rows.select("qid", "id", F.row_number().over(Window.partitionBy("qid").orderBy(kind, F.desc("score"), "id")).alias("place"))
 
 
+# ---- every benchmark row and every document -------------------------------------------------
+
+
+def _over_every_row(f: Query, *filters: tuple[str, str]) -> None:
+    """Register ``f`` without its row filter as ``f``_all; the twin is that of ``f`` without the filter."""
+    sql = ORACLES[f.__name__]
+    for old, new in filters:
+        if old not in sql:
+            raise ValueError(f"{f.__name__}: no {old!r} in its twin")
+        sql = sql.replace(old, new)
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return f(spark, sf, whole=True)
+
+    run.__name__, run.__doc__ = f"{f.__name__}_all", f.__doc__
+    query(sql)(run)
+
+
+_ITEMS = (" WHERE item_id % 5 = 0", "")
+for _f in (retrieve_bm25l, retrieve_rrf, retrieve_rerank, retrieve_excerpts, retrieve_authority):
+    _over_every_row(_f, _ITEMS)
+#: Four queries a question, the most that multi_query takes, so no item is left out.
+_over_every_row(retrieve_multi_query, _ITEMS, ("qid // 10 AS question, qid % 10 // 5 AS query_no", "qid // 4 AS question, qid % 4 AS query_no"))
+_over_every_row(retrieve_parent_window, (" AND doc_id % 3 = 0", ""))
