@@ -406,6 +406,16 @@ def test_surge_and_dive_without_a_container():
     assert line_block_html.main_text(page) == f"{long}\nShort.\n{long}"
 
 
+def test_surge_and_dive_beside_containers():
+    long = "A long sentence that belongs to the story and goes on for quite a while, as stories do."
+    teaser = "<article><p>More news</p></article>"
+    gap = "<nav>x</nav><nav>y</nav><nav>z</nav>"
+    for box in (teaser, '<div class="content">More news</div>'):
+        assert line_block_html.main_text(f"<div><p>{long}</p><p>{long}</p></div>{gap}{box}") == f"{long}\n{long}"
+    assert line_block_html.main_text(f"<article><p>{long}</p><p>{long}</p><p>End.</p></article><p>beside</p>{teaser}{teaser}") == f"{long}\n{long}\nEnd."
+    assert line_block_html.main_text(f"<article><p>{long}</p></article><article><p>{long}</p></article><p>beside</p>") == f"{long}\n{long}"
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = line_block_html.extract(df).collect()

@@ -4,10 +4,12 @@ Markup is stripped to lines (one a block), and each line keeps its text length.
 containers (navigation, headers and footers of the page, sidebars, forms, notices, adverts,
 comments, scripts, styles) leave lines of length zero. Sums of lengths over a sliding window of
 lines then show where text surges above a threshold and where it dives back to nothing; lines
-between a surge and its dive are the main text. Where the page names its content
-(article, main, or a role or class that says so), surge and dive points are moved to that
-container's edges, so short paragraphs at the edge of an article are not lost and text outside
-it is not taken.
+between a surge and its dive are the main text, on every page. Where the page names its content
+(article, main, or a role or class that says so), the surge and dive points of a run are moved to
+the edges of the containers that hold a fifth of the run's text each and half of it together, so
+short paragraphs at the edge of an article are not lost, and teasers and other text beside it are
+not taken. A run that lies elsewhere, such as a body in an unnamed element beside a short article,
+stays as found. Only a page whose text surges nowhere is read by its containers alone.
 
 Defined results: null and empty pages, and pages without text, give an empty string; a page cut
 off inside a tag, entity or element is read as far as it goes; duplicates are extracted each;
@@ -25,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Sum of text over a window at which text surges, where the page names no container.
+#: Sum of text over a window at which text surges.
 SURGE = 80
+#: Shares of a run's text: of each container that moves its edges, and of all these together.
+SHARE, BULK = 0.2, 0.5
 
 #: Elements whose content is no text of the page.
 _SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "math"}
@@ -134,6 +138,18 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _moved(found: list[tuple[str, int, bool]], length: list[int], run: range, inside: dict[int, list[int]]) -> list[int]:
+    """Lines of a run whose edges are moved to those of the containers that hold its bulk."""
+    weight: dict[int, int] = {}
+    for k in run:
+        weight[found[k][1]] = weight.get(found[k][1], 0) + length[k]
+    total = sum(weight.values())
+    chosen = [box for box, size in weight.items() if box and size >= SHARE * total]
+    if sum(weight[box] for box in chosen) < BULK * total:
+        return list(run)
+    return [k for box in chosen for k in inside[box]]
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by one newline."""
     if not page:
@@ -144,26 +160,27 @@ def main_text(page: str | None) -> str:
     length = [0 if noise else len(text) for text, _, noise in found]
     n = len(found)
     sums = [sum(length[i : i + WINDOW]) for i in range(n)]
-    weight: dict[int, int] = {}
-    for (_, box, _), size in zip(found, length):
-        if box and size:
-            weight[box] = weight.get(box, 0) + size
+    inside: dict[int, list[int]] = {}  # lines of each container
+    for k, (_, box, _) in enumerate(found):
+        if box and length[k]:
+            inside.setdefault(box, []).append(k)
     keep = [False] * n
-    if weight:
-        # Surge and dive lie at the edges of the named containers.
-        for i, (_, box, _) in enumerate(found):
-            keep[i] = bool(box) and length[i] > 0
-    else:
-        i = 0
-        while i < n:
-            if length[i] and sums[i] >= SURGE:  # surge
-                j = i
-                while j < n and sums[j]:
-                    j += 1  # dive: a whole window without text
-                for k in range(i, j):
-                    keep[k] = length[k] > 0
-                i = j
-            i += 1
+    surged = False
+    i = 0
+    while i < n:
+        if length[i] and sums[i] >= SURGE:  # surge
+            j = i
+            while j < n and sums[j]:
+                j += 1  # dive: a whole window without text
+            surged = True
+            for k in _moved(found, length, range(i, j), inside):
+                keep[k] = length[k] > 0
+            i = j
+        i += 1
+    if not surged:
+        for ks in inside.values():
+            for k in ks:
+                keep[k] = True
     return "\n".join(text for (text, _, _), k in zip(found, keep) if k)
 
 
