@@ -416,6 +416,17 @@ def test_surge_and_dive_beside_containers():
     assert line_block_html.main_text(f"<article><p>{long}</p></article><article><p>{long}</p></article><p>beside</p>") == f"{long}\n{long}"
 
 
+@pytest.mark.parametrize(
+    ("start", "text"),
+    [
+        ("<head><meta charset=utf-8><title>T</title><script>var t = '<p>no</p>'</script><body>", "a\nb"), ("<head><title>T<body>", "a\nb"), ("<button>Go", "a\nb"), ("<select><option>x<option>y", "a\nb"), ("<svg><title>t</title>", "a\nb"),
+        ("<title>T<script>'<p>no</p>'</script>", "a\nb"), ("<script>var x", ""), ("<style>p{}", ""), ("<head><title>T</title></head><body>", "a\nb"),
+    ],
+)
+def test_silent_elements_left_open(start, text):
+    assert line_block_html.main_text(f"<html>{start}<article><p>a</p><p>b</p></article></html>") == text
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = line_block_html.extract(df).collect()

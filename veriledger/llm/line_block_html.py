@@ -12,7 +12,8 @@ not taken. A run that lies elsewhere, such as a body in an unnamed element besid
 stays as found. Only a page whose text surges nowhere is read by its containers alone.
 
 Defined results: null and empty pages, and pages without text, give an empty string; a page cut
-off inside a tag, entity or element is read as far as it goes; duplicates are extracted each;
+off inside a tag, entity or element is read as far as it goes; an element of no text that lacks its
+closing tag ends at the next block (script and style at the page's end); duplicates are extracted each;
 null ids and urls are carried; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -41,6 +42,8 @@ _BLOCKS = {
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+#: Where a silent element without its closing tag ends; a list's own options do not end it.
+_NEXT = re.compile(rf"</?(?:{'|'.join(sorted((_BLOCKS | _SILENT) - {'option'}))})(?=[\s/>])", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words of class, id and role that mark boilerplate, and those that mark content.
 _NOISE = re.compile(
@@ -109,7 +112,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in _SILENT:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = n
+                elif name != "head":  # what an unclosed head holds is silent or void by itself
+                    following = _NEXT.search(page, at)
+                    at = following.start() if following else n
             continue
         if name == "br":
             piece.append(" ")
