@@ -470,6 +470,15 @@ def test_leaks(spark, docs, rows, nothing, block_rows):
     assert decontaminate.leaks(nothing, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_items_of_one_id_and_of_none(spark):
+    text = lambda k: " ".join(f"x{k}y{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, text(1)), (1, text(2)), (None, text(3)), (5, text(1))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text(1)), (2, f"a {text(2)} b"), (3, text(3)), (None, text(3)), (None, "clean one"), (4, "clean two"), (4, text(1)), (5, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_item_shingles, r.n_shared, r.containment) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {k: (16, 16, 1.0) for k in ((1, 1), (1, 5), (2, 1), (4, 1), (4, 5))}
+    assert Counter(tuple(r) for r in decontaminate.drop_leaking(docs, bench).collect()) == Counter([(None, "clean one"), (4, "clean two"), (5, None)])
+
+
 def test_sketch_misses_no_leak(spark):
     """Whichever shingles a document lacks, up to a fifth, one of the sketch is left."""
     bench = spark.createDataFrame([(n, " ".join(f"t{n}x{i}" for i in range(n))) for n in (3, 5, 9, 14, 104)], "item_id long, text string")

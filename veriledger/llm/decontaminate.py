@@ -14,9 +14,10 @@ blocks, so what is broadcast does not grow. Documents are never joined with each
 
 Defined results: texts are lower-cased A-Z and cut at ASCII white space; an item of fewer words
 than a shingle is one shingle of all its words and is sought among runs of that many words;
-null and empty items match nothing; null and empty documents hold nothing; rows that share a
-doc_id are searched each and reported once with the largest share; null ids are reported as
-null; extra columns are ignored; empty tables give no rows.
+items of null or empty text match nothing; null and empty documents hold nothing; rows that share
+a doc_id or an item_id are searched each and reported once with the largest share; a null doc_id
+is reported as null; items without an id are not reported, but documents that hold one are
+dropped; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -114,9 +115,9 @@ def verified(docs: DataFrame, found: DataFrame, items: DataFrame, widths: list[i
     return kept.join(found, [kept["doc_id"].eqNullSafe(found["doc_id"]), kept["text_hash"] == found["text_hash"], kept["item_id"] == found["item_id"]], "left_semi")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, item_id, n_item_shingles, n_shared, containment for every leak; texts are not carried along."""
-    items = materialise(item_shingles(benchmark.where("item_id IS NOT NULL"), shingle), "items")
+def _search(docs: DataFrame, texts: DataFrame, threshold: float, shingle: int, block_rows: int) -> DataFrame:
+    """(doc_id, text_hash, item_id, n, n_shared) of every leak of ``texts``, whose item_id is not null and names one text."""
+    items = materialise(item_shingles(texts, shingle), "items")
     shape = items.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()  # one row, at most ``shingle`` widths
     widths = sorted(shape["widths"]) or [shingle]
     blocks = max(1, -(-shape["n"] // block_rows))
@@ -126,11 +127,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
         part = materialise(candidates(docs, sketches(block, threshold), widths), "candidates")
         exact = verified(docs, part, block, widths, threshold)
         found = exact if found is None else found.unionByName(exact)
-    best = found.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item_shingles"), F.max("n_shared").alias("n_shared"))
-    return best.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+    return found
+
+
+def _item_texts(benchmark: DataFrame) -> DataFrame:
+    """Each distinct text of the items once, under its hash as item_id."""
+    return benchmark.where("text IS NOT NULL").select(F.xxhash64("text").alias("item_id"), "text").distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, item_id, n_item_shingles, n_shared, containment for every leak of an item with an id; texts are not carried along."""
+    named = benchmark.where("item_id IS NOT NULL")
+    found = _search(docs, _item_texts(named), threshold, shingle, block_rows).withColumnRenamed("item_id", "item_key")
+    ids = named.select(F.xxhash64("text").alias("item_key"), "item_id").distinct()
+    share = F.col("n_shared") / F.col("n")
+    best = found.join(ids, "item_key").groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("containment"), "n_shared", "n")).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.n").alias("n_item_shingles"), "b.n_shared", "b.containment")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents that hold no benchmark item, all columns as they came. All rows of a leaking id go."""
-    bad = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Documents that hold no benchmark item, with an id or without; all columns as they came. Rows go by doc_id and text."""
+    bad = _search(docs, _item_texts(benchmark), threshold, SHINGLE, BLOCK_ROWS).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
