@@ -10,10 +10,13 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -427,6 +430,85 @@ def test_silent_elements_left_open(start, text):
     assert line_block_html.main_text(f"<html>{start}<article><p>a</p><p>b</p></article></html>") == text
 
 
+def brute_runs(weight):
+    """From the definition: a window without weight parts the lines, and a part counts if one of its windows reaches the threshold."""
+    w, n = line_block_html.WINDOW, len(weight)
+    sums = [sum(weight[i : i + w]) for i in range(n)]
+    surge = min(line_block_html.SURGE, max(sums, default=0) / 2)
+    alive = [k for k in range(n) if weight[k]]
+    parts = []
+    for k in alive:
+        if parts and not any(sums[i] == 0 for i in range(parts[-1][-1], k)):
+            parts[-1].append(k)
+        else:
+            parts.append([k])
+    return [(p[0], p[-1] + 1) for p in parts if any(sums[i] >= surge for i in range(max(0, p[0] - w + 1), p[-1] + 1))]
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(3000):
+        weight = [rng.choice([0, 0, 0, 1, 5, 30, 90]) if rng.random() < 0.7 else 0 for _ in range(rng.randint(0, 40))]
+        assert line_block_html.runs(weight) == brute_runs(weight)
+
+
+def test_short_pages_are_not_lost():
+    assert line_block_html.main_text("<p>Short note.</p><p>Two.</p>") == "Short note.\nTwo."
+    assert line_block_html.main_text("<div>Menu</div><nav>a</nav><nav>b</nav><nav>c</nav><p>Short note</p>") == "Short note"
+    assert line_block_html.main_text("<ul><li><a>x</a><li><a>y</a></ul>") == "x\ny"
+    items = "".join(f"<li>{c}" for c in "abcdefg")
+    assert line_block_html.main_text(f"<article><ul>{items}</ul><p>{'word ' * 30}</p></article>").split("\n")[:7] == list("abcdefg")
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('<script src="x.js"/>var z=1;</script>', ""), ('<div class="share-price">Price 5</div>', "Price 5"), ('<div class="share-buttons">Tweet</div>', ""), ('<div class="related-work">Others</div>', "Others"),
+        ('<div id="relatedPosts">More</div>', ""), ('<div class="notice">Closed</div>', ""), ('<p class="notice-of-meeting">Meeting</p>', "Meeting"), ("<div><object>kept</object></div>", "kept"), ("<p><math><mi>x</mi></math></p>", "x"),
+        ("<noscript><p>kept</p></noscript>", "kept"), ('<div class="entry-header">Own</div>', "Own"), ('<section id="user-comments"><p>Nice</p></section>', ""), ("<p title=it's>quoted</p>", "quoted"), ('<p title="a > b">marked</p>', "marked"),
+    ],
+)
+def test_names_zero_a_line(inner, text):
+    body = "Words of the article itself, which are many more than those of the case."
+    assert line_block_html.main_text(f"<article><p>{body}</p>{inner}</article>") == "\n".join(filter(None, [body, text]))
+
+
+class Article(HTMLParser):
+    """Blocks of the article element, by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_extraction_equals_another_parsers():
+    for p in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist():
+        other = Article()
+        other.feed(p)
+        assert line_block_html.main_text(p) == "\n".join(t for t in (" ".join(b.split()) for b in other.blocks) if t)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "x" + "</i>" * 100_000, "<div><p>" * 50_000 + "x", "<title>x<p>x" * 50_000, '<a href="x' * 50_000, "<a b='" * 50_000, "<!-- " * 50_000])
+def test_open_markup_costs_linear_time(page):
+    began = time.perf_counter()
+    line_block_html.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = line_block_html.extract(df).collect()

@@ -1,40 +1,45 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines (one a block), and each line keeps its text length. Boilerplate
-containers (navigation, headers and footers of the page, sidebars, forms, notices, adverts,
-comments, scripts, styles) leave lines of length zero. Sums of lengths over a sliding window of
-lines then show where text surges above a threshold and where it dives back to nothing; lines
-between a surge and its dive are the main text, on every page. Where the page names its content
-(article, main, or a role or class that says so), the surge and dive points of a run are moved to
-the edges of the containers that hold a fifth of the run's text each and half of it together, so
-short paragraphs at the edge of an article are not lost, and teasers and other text beside it are
-not taken. A run that lies elsewhere, such as a body in an unnamed element beside a short article,
-stays as found. Only a page whose text surges nowhere is read by its containers alone.
+Markup is stripped to lines (one a block), and each line weighs the length of its text. Names of
+elements can only zero a line: boilerplate (navigation, headers and footers of the page, sidebars,
+forms, notices, adverts, comments) weighs nothing, nor does a line that is one link outside the
+named content, nor, where elements that name the content hold the bulk of a page's text, any line
+beside them. Sums of weights over a sliding window of lines then decide on every page: a dive is a
+whole window without weight, a surge a window that reaches ``SURGE`` or, on a page of little text,
+half of the page's largest window. The main text is every stretch between two dives that surges,
+from its first to its last line of weight, without boilerplate. As the threshold follows a
+page's own distribution, no page that has text outside boilerplate is left empty.
 
 Defined results: null and empty pages, and pages without text, give an empty string; a page cut
 off inside a tag, entity or element is read as far as it goes; an element of no text that lacks its
-closing tag ends at the next block (script and style at the page's end); duplicates are extracted each;
-null ids and urls are carried; extra columns are ignored; an empty table gives no rows.
+closing tag ends at the next block (script and style at the page's end); very long pages, pages of one
+line and markup that is never closed are read whole, in time linear in their length; a page of
+equal windows (ties) keeps all of them; duplicates are extracted each; null ids and urls are
+carried; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Lines of a window.
 WINDOW = 3
-#: Sum of text over a window at which text surges.
+#: Sum of text over a window at which text surges; half of the largest window on pages that never reach it twice over.
 SURGE = 80
-#: Shares of a run's text: of each container that moves its edges, and of all these together.
+#: Shares of a page's text: of each element that counts as its content, and of all these together.
 SHARE, BULK = 0.2, 0.5
 
 #: Elements whose content is no text of the page.
-_SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "select", "textarea", "button", "canvas", "math"}
+_SILENT = {"script", "style", "template", "svg", "iframe", "head", "title", "select", "textarea", "button"}
 #: Elements that hold no main text.
 _ASIDE = {"nav", "footer", "aside", "form", "dialog", "menu"}
 _BLOCKS = {
@@ -45,76 +50,133 @@ _BLOCKS = {
 #: Where a silent element without its closing tag ends; a list's own options do not end it.
 _NEXT = re.compile(rf"</?(?:{'|'.join(sorted((_BLOCKS | _SILENT) - {'option'}))})(?=[\s/>])", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words of class, id and role that mark boilerplate, and those that mark content.
+#: Words of class, id and role that mark boilerplate.
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|footer|masthead|site-?header|page-?header|topbar|header|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay"
-    r"|newsletter|subscri\w*|signup|login|search\w*|social|share\w*|sharing|related\w*|recommend\w*|comments?|commentlist|respond|replies|reply|disqus|pagination|pager|tags|widget\w*|toolbar|skip\w*|copyright|legal|complementary|contentinfo|toc)(?=$|[\s_-])",
-    re.I,
+    r"ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|footer|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal"
+    r"|newsletter|subscri\w*|signup|login|search\w*|social|shar(?:e|es|ing)|related|recommend\w*|comments?|commentlist|respond|repl(?:y|ies)|disqus|paginat\w*|pager|tags|widgets?|toolbar"
+    r"|skip|copyright|legal|complementary|contentinfo|toc"
+)
+#: The same for headers, which are boilerplate unless they stand inside the content.
+_HEADER = re.compile(r"header|masthead|site-?head|topnav")
+#: Words that say only how or where a thing is put: beside one of these a word above keeps its meaning ("share-buttons"), beside another it does not ("share-price").
+_PLACE = re.compile(
+    r"\d+|[a-z]|site|page|top|bottom|left|right|main|inner|outer|global|primary|secondary|sub|mini|sticky|fixed|float\w*|bar|box|btns?|buttons?|list|lists|links?|wrap|wrapper|container|area|section|block|panel|items?|form"
+    r"|form-?field|icons?|count|message|overlay|row|col|column|unit|slot|zone|group|module|component|header|footer|nav|posts?|articles?|stories|story|entry|blog|news|user|reader|thread|policy|law|bottombar|content|title|heading|text|toggle|tools?|media|input|field|img|image|rail|side|desktop|mobile|hidden|show|open|close"
 )
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article(?:-?(?:body|content|text))?|post-?(?:body|content|text)|entry-?(?:content|body)|main-?(?:content|text)?|content|story(?:-?body)?|body-?text)(?=$|[\s_-])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments, declarations, tags; a quote opens only after an equals sign, and what is left open runs to the page's end. Nothing is tried twice.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+class Line(NamedTuple):
+    text: str
+    box: int  #: content element it lies in, counted from 1 in page order; 0 is none
+    noise: bool
+    link: bool  #: the whole line is links
+
+
+class _Open(NamedTuple):
+    name: str
+    noise: bool
+    box: int
+    block: str  #: the nearest block that is open, itself included
+
+
+def _says(value: str) -> tuple[bool, bool]:
+    """Whether a class, id or role says boilerplate, and whether it says header: a name does when one of its words is such a word and the others only say where."""
+    noise = header = False
+    for name in value.split():
+        parts = [p for p in re.split(r"[-_:]+", _CAMEL.sub("-", name).lower()) if p]
+        marked = [bool(_NOISE.fullmatch(p)) for p in parts]
+        if any(marked):
+            noise = noise or all(m or _PLACE.fullmatch(p) or _HEADER.fullmatch(p) for p, m in zip(parts, marked))
+        elif any(_HEADER.fullmatch(p) for p in parts):
+            header = header or all(_HEADER.fullmatch(p) or _PLACE.fullmatch(p) for p in parts)
+    return noise, header
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element's name or attributes say boilerplate, or content."""
-    noise, content = tag in _ASIDE, tag in ("article", "main")
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element's name or attributes say boilerplate, header, or content."""
+    noise, header, content = tag in _ASIDE, tag == "header", tag in ("article", "main")
     if attrs and not attrs.isspace():
         for name, value in _ATTR.findall(attrs):
-            value = value.strip("\"'")
-            name = name.lower()
+            value, name = value.strip("\"'"), name.lower()
             if name in ("class", "id", "role"):
-                content = content or (tag in _BLOCKS and tag not in ("body", "html") and bool(_CONTENT.search(value)) and not _NOISE.search(value))
-                noise = noise or (tag not in ("body", "html", "article", "main") and bool(_NOISE.search(value)))
+                says, heads = _says(value)
+                if tag not in ("body", "html", "article", "main"):
+                    noise, header = noise or says, header or heads
+                content = content or (tag in _BLOCKS and tag not in ("body", "html") and bool(_CONTENT.search(value)) and not says and not heads)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 noise = True
-    return noise, content
+    return noise, header, content
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, content container, boilerplate) of each block in page order; containers count from 1, 0 is none."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[Line]:
+    """The blocks of a page in its order."""
+    out: list[Line] = []
     piece: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate inside, container inside
+    loose = False  # text outside links in this line
+    stack: list[_Open] = []
+    count: Counter[str] = Counter()  # open elements by name
+    unended: set[str] = set()  # silent elements with no closing tag in the rest of the page
     containers, at, n = 0, 0, len(page)
 
     def close_line() -> None:
+        nonlocal loose
         if piece:
             text = " ".join(entities.unescape("".join(piece)).split())
             piece.clear()
-            noise, box = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             if text:
-                out.append((text, box, noise))
+                out.append(Line(text, stack[-1].box if stack else 0, bool(stack) and stack[-1].noise, not loose))
+        loose = False
+
+    def say(text: str) -> None:
+        nonlocal loose
+        piece.append(text)
+        loose = loose or not count["a"] and not text.isspace()
+
+    def close_to(name: str) -> None:
+        while stack:
+            gone = stack.pop().name
+            count[gone] -= 1
+            if gone == name:
+                break
 
     while at < n:
         m = _TAG.search(page, at)
         if not m:
             rest = page[at:]
-            cut = rest.find("<")
-            piece.append(rest if cut < 0 or not re.match(r"<[a-zA-Z/!?]", rest[cut:]) else rest[:cut])
+            cut = rest.rfind("<")
+            say(rest if cut < 0 or not re.match(r"<[a-zA-Z/!?]", rest[cut:]) else rest[:cut])
             break
         if m.start() > at:
-            piece.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            if any(s[0] == name for s in stack):
-                if name in _BLOCKS:
-                    close_line()
-                while stack:
-                    if stack.pop()[0] == name:
-                        break
-            elif name in _BLOCKS:
+            if name in _BLOCKS:
                 close_line()
+            if count[name]:
+                close_to(name)
             continue
+        closed = m[3].rstrip().endswith("/")
         if name in _SILENT:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif name in ("script", "style"):
+            if name == "svg" and closed:
+                continue
+            end = None if name in unended else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                unended.add(name)
+                if name in ("script", "style"):
                     at = n
                 elif name != "head":  # what an unclosed head holds is silent or void by itself
                     following = _NEXT.search(page, at)
@@ -123,40 +185,62 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name == "br":
             piece.append(" ")
             continue
-        if name in _VOID or m[3].rstrip().endswith("/") and name not in _BLOCKS:
+        if name in _VOID or closed and name not in _BLOCKS:
             if name == "hr":
                 close_line()
             continue
         if name in _BLOCKS:
             close_line()
             # An open paragraph or item ends where the next block begins.
-            while stack and (stack[-1][0] == "p" or stack[-1][0] not in _BLOCKS and any(s[0] == "p" for s in stack)):
-                stack.pop()
-            if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-        noise, content = _marks(name, m[3])
-        inside = bool(stack) and stack[-1][1]
-        box = stack[-1][2] if stack else 0
-        # A header inside an article is the article's own; elsewhere it is the page's.
-        noise = noise or name == "header" and not box
-        if content and not inside and not noise and not box:
+            if stack and stack[-1].block == "p":
+                close_to("p")
+            if name == "li" and stack and stack[-1].block == "li":
+                close_to("li")
+        noise, header, content = _marks(name, m[3])
+        above = stack[-1] if stack else _Open("", False, 0, "")
+        box = above.box
+        noise = noise or header and not box  # a header inside the content is the content's own
+        if content and not above.noise and not noise and not box:
             containers += 1
             box = containers
-        stack.append((name, inside or noise, box))
+        stack.append(_Open(name, above.noise or noise, box, name if name in _BLOCKS else above.block))
+        count[name] += 1
     close_line()
     return out
 
 
-def _moved(found: list[tuple[str, int, bool]], length: list[int], run: range, inside: dict[int, list[int]]) -> list[int]:
-    """Lines of a run whose edges are moved to those of the containers that hold its bulk."""
-    weight: dict[int, int] = {}
-    for k in run:
-        weight[found[k][1]] = weight.get(found[k][1], 0) + length[k]
-    total = sum(weight.values())
-    chosen = [box for box, size in weight.items() if box and size >= SHARE * total]
-    if sum(weight[box] for box in chosen) < BULK * total:
-        return list(run)
-    return [k for box in chosen for k in inside[box]]
+def distribution(found: list[Line]) -> tuple[list[Line], list[int]]:
+    """The lines that can hold main text or part it, and their weights. Boilerplate inside the content parts nothing, so it is left out."""
+    size: Counter[int] = Counter()
+    for x in found:
+        if not x.noise:
+            size[x.box] += len(x.text)
+    total = size.total()
+    chosen = {box for box, s in size.items() if box and s >= SHARE * total}
+    if sum(size[box] for box in chosen) < BULK * total:
+        chosen = set()
+    left = [x for x in found if not (x.noise and x.box)]
+    beside = [x.noise or bool(chosen) and x.box not in chosen for x in left]
+    left = [x._replace(noise=b) for x, b in zip(left, beside)]
+    return left, [0 if x.noise or x.link and not x.box else len(x.text) for x in left]
+
+
+def runs(weight: list[int]) -> list[tuple[int, int]]:
+    """[from, to) of every stretch between two dives that surges, from its first to its last line of weight."""
+    n = len(weight)
+    up_to = [0, *accumulate(weight)]
+    sums = [up_to[min(n, i + WINDOW)] - up_to[i] for i in range(n)]
+    surge = min(SURGE, max(sums, default=0) / 2)
+    out, i = [], 0
+    while i < n:
+        j = i
+        while j < n and sums[j]:
+            j += 1
+        if j > i and max(sums[i:j]) >= surge:
+            weighted = [k for k in range(i, j) if weight[k]]
+            out.append((weighted[0], weighted[-1] + 1))
+        i = j + 1
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -164,33 +248,12 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    if not found:
-        return ""
-    length = [0 if noise else len(text) for text, _, noise in found]
-    n = len(found)
-    sums = [sum(length[i : i + WINDOW]) for i in range(n)]
-    inside: dict[int, list[int]] = {}  # lines of each container
-    for k, (_, box, _) in enumerate(found):
-        if box and length[k]:
-            inside.setdefault(box, []).append(k)
-    keep = [False] * n
-    surged = False
-    i = 0
-    while i < n:
-        if length[i] and sums[i] >= SURGE:  # surge
-            j = i
-            while j < n and sums[j]:
-                j += 1  # dive: a whole window without text
-            surged = True
-            for k in _moved(found, length, range(i, j), inside):
-                keep[k] = length[k] > 0
-            i = j
-        i += 1
-    if not surged:
-        for ks in inside.values():
-            for k in ks:
-                keep[k] = True
-    return "\n".join(text for (text, _, _), k in zip(found, keep) if k)
+    left, weight = distribution(found)
+    kept = runs(weight)
+    if not kept and any(not x.noise for x in left):  # links alone: they are the text
+        weight = [0 if x.noise else len(x.text) for x in left]
+        kept = runs(weight)
+    return "\n".join(left[k].text for i, j in kept for k in range(i, j) if not left[k].noise)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
