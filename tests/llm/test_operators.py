@@ -119,37 +119,91 @@ def test_toxicity_learns_stems(spark):
 # ---- op2 --------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [50, 2_000, 1_500_000])
-def test_backoff_scores(docs, rows, block, monkeypatch):
-    monkeypatch.setattr(backoff_lm, "BUCKET_ENTRIES", 500 if block < 10_000 else 1_500_000)
+def brute_backoff(rows, order, mass):
+    """Probabilities straight from the formula, over dictionaries of words."""
     toks = [[lower(w) for w in WORD.findall(r[1] or "")] + ["\n"] for r in rows]
     train = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1 for r in rows]
-    c = Counter(w for t, ok in zip(toks, train) if ok for w in t)
-    pairs = Counter(p for t, ok in zip(toks, train) if ok for p in zip(["\t", *t], t))
-    n, v = sum(c.values()), len(c)
-    history = Counter(c) + Counter({"\t": sum(train)})
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    mass = backoff_lm.MASS
-    want = Counter()
+    counts = [Counter() for _ in range(order + 1)]
+    for t, ok in zip(toks, train):
+        for i in range(len(t)) if ok else ():
+            for k in range(1, order + 1):
+                if k <= i + 2:
+                    counts[k][tuple(["\t", *t][i + 2 - k : i + 2])] += 1
+    counts[1]["\t",] = 0
+    c, n = Counter({w[0]: x for w, x in counts[1].items() if x}), sum(counts[1].values())
+    v = len(c)
+    history = lambda h: sum(train) if h == ("\t",) else counts[len(h)][h]
+
+    def p(h, w):
+        if not h:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        m = mass[len(h)]
+        return (counts[len(h) + 1][*h, w] + m * p(h[1:], w)) / (history(h) + m)
+
     for r, t, ok in zip(rows, toks, train):
-        base = sum(math.log10(p(w)) for w in t)
-        model = sum(math.log10((pairs[h, w] + mass * p(w)) / (history[h] + mass)) for h, w in zip(["\t", *t], t))
-        want[r[0], not ok, len(t), sum(c[w] > 0 for w in t), n, round(base, 6), round(model, 6)] += 1
-    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in backoff_lm.backoff_scores(docs, block).collect())
-    assert got == want
+        padded = ["\t", *t]
+        model = sum(math.log10(p(tuple(padded[max(0, i + 1 - (order - 1)) : i + 1]), w)) for i, w in enumerate(t))
+        yield r[0], not ok, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10(p((), w)) for w in t), 6), round(model, 6)
+
+
+@pytest.mark.parametrize(("block", "fan", "order", "mass"), [(50, 3, 3, (0, 7.0, 2.0)), (300, 4, 4, (0, 7.0, 2.0, 0.5)), (2_000, 256, 2, (0, 400.0)), (1_500_000, 256, 3, backoff_lm.MASS), (2_000, 256, 1, (0,))])
+def test_backoff_scores(docs, rows, block, fan, order, mass):
+    got = backoff_lm.backoff_scores(docs, block, mass, order, fan, 500 if fan < 256 else 50_000)
+    found = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got.collect())
+    assert found == Counter(brute_backoff(rows, order, mass))
+
+
+def small_automaton():
+    texts = [b"a b a c", b"a b", b"c", b"a b c a"]
+    b = backoff_lm.Block.of([backoff_lm.tokens(t) for t in texts], [True] * 4)
+    counts = [b.counts(k).astype(float) for k in range(3)]
+    return b, backoff_lm.Automaton(b, counts, int(counts[0].sum()), len(counts[0]), 4, (0, 3.0, 2.0))
 
 
 def test_backoff_probabilities_sum_to_one():
-    texts = [b"a b a c", b"a b", b"c"]
-    b = backoff_lm.Block.of([backoff_lm.tokens(t) for t in texts], [True] * 3)
-    words, pairs = b.word_counts(), b.pair_counts()
-    a = backoff_lm.Automaton(b, words, pairs, int(words.sum()), len(words), 3)
-    unseen = 0.5 / (words.sum() + 0.5 * (len(words) + 1))
-    assert (10**a.root).sum() + unseen == pytest.approx(1)
-    k = int(np.flatnonzero(b.vocab == backoff_lm.tokens(b"a")[0])[0])  # arcs of the state "a", the rest along its failure arc
-    arcs = {int(b.ids[i]): 10 ** a.arc[b.pair_of[i]] for i in range(len(b.ids)) if a.states()[i] == k}
-    rest = sum(10 ** (a.failure[k] + a.root[w]) for w in range(len(words)) if w not in arcs) + 10 ** a.failure[k] * unseen
-    assert sum(arcs.values()) + rest == pytest.approx(1)
+    """Of each state, over its arcs and along its failure arcs."""
+    b, a = small_automaton()
+    unseen = 0.5 / (a.counts[0].sum() + 0.5 * (len(a.counts[0]) + 1))
+    assert (10 ** a.arc[0]).sum() + unseen == pytest.approx(1)
+
+    def spread(state):
+        if state == 0:
+            return dict(enumerate(10 ** a.arc[0])), unseen
+        below, lost = spread(int(a.fall[state]))
+        back, k = 10 ** a.back[state], int(a.length[state])
+        out = {w: x * back for w, x in below.items()}
+        at = a._states(k)
+        for i in np.flatnonzero(at == state):
+            out[int(b.grams[0][i])] = 10 ** a.arc[k][b.grams[k][i]]
+        return out, lost * back
+
+    ends = backoff_lm.END
+    for state in {int(x) for k in (1, 2) for x in a._states(k)} - {0}:
+        arcs, lost = spread(state)
+        assert sum(arcs.values()) + lost == pytest.approx(1)
+    assert ends in b.hashes[0]
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 7, 256])
+def test_runs_carry_the_state(docs, rows, run):
+    """Runs that read their way in end in the states of one run over the whole text."""
+    b, a = small_automaton()
+    assert a.traverse(run) == pytest.approx(a.traverse(10_000))
+    t = [backoff_lm.tokens((r[1] or "").encode()) for r in rows]
+    big = backoff_lm.Block.of(t, [i % 3 > 0 for i in range(len(t))])
+    counts = [big.counts(k).astype(float) for k in range(3)]
+    a = backoff_lm.Automaton(big, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), big.starts())
+    assert a.traverse(run) == pytest.approx(a.traverse(100_000))
+
+
+def test_messages_of_a_tree_follow_the_blocks(docs):
+    """However many blocks there are, each asks one question a range and order at most."""
+    for size in (5_000, 1_000, 200):
+        table = backoff_lm.blocks(docs, F.lit(True), size).persist()
+        n, entries = table.count(), table.agg(F.sum("entries")).first()[0]
+        asked = backoff_lm.asks(table, backoff_lm.Tree(n, entries, 3, 8, 100)).groupBy("child").count().collect()
+        assert len(asked) == n and max(r["count"] for r in asked) <= 8 * 3
+        table.unpersist()
 
 
 def test_backoff_empty(nothing):
