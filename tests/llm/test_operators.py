@@ -213,12 +213,47 @@ def test_backoff_empty(nothing):
 # ---- op3 --------------------------------------------------------------------------------------
 
 
-def test_quality_rules(docs, rows, nothing):
-    want = Counter()
-    refs = divergence_rules.references(docs)
+CHARACTER_CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[ \t\n\v\f\r]", r"""[.,;:'"()\-]""", "[!?]", r"[#*$%&|<>]", None, r"[^\x00-\x7f]")
+
+
+def brute_classes(text):
+    found = [len(re.findall(c, text)) if c else 0 for c in CHARACTER_CLASSES]
+    found[7] = len(text) - sum(found)
+    return found
+
+
+def brute_distance(p, q):
+    """From entropies: that of the mean less the mean of theirs."""
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    entropy = lambda d: -sum(x * math.log2(x) for x in d if x)
+    return math.sqrt(max(0.0, entropy([(a + b) / 2 for a, b in zip(p, q)]) - (entropy(p) + entropy(q)) / 2))
+
+
+def brute_verdicts(rows, listed):
+    """(base counts, base_failed, kept) of each row, from texts as strings, without the library's histograms and references."""
+    words = lambda t: WORD.findall(t or "")
+    parted = lambda t: words(re.sub("[.,;:!?\"'()#*$%&|<>]", " ", lower(t or "")))
+    refs = {}
+    for lang in {r[2] for r in rows if r[2]} | set(listed):
+        long = [r[1] for r in rows if r[2] == lang and len(words(r[1])) > 50]
+        tagged = Counter(w for r in rows if r[2] == lang for w in parted(r[1]))
+        common = listed.get(lang) or [w for w, _ in sorted(tagged.items(), key=lambda x: (-x[1], x[0].encode()))[:30]]
+        if len(long) < 20:
+            if lang in listed:
+                fall = [1 / k for k in range(1, len(common) + 1)]
+                refs[lang] = ([0.78, 0.03, 0.005, 0.16, 0.02, 0.001, 0.001, 0.001, 0.002], [x / sum(fall) / 3 for x in fall] + [2 / 3], common)
+            continue
+        shares = [[int(math.sqrt(x / len(t)) * 511) for x in brute_classes(t)] for t in long]
+        medians = [(sorted(s[k] for s in shares)[(len(long) - 1) // 2] / 511) ** 2 for k in range(9)]
+        means = [0.0] * (len(common) + 1)
+        for t in long:
+            ws = parted(t)
+            hits = [ws.count(w) for w in common]
+            for k, x in enumerate([*hits, len(ws) - sum(hits)]):
+                means[k] += x / max(1, len(ws))
+        refs[lang] = (medians, means, common)
     for r in rows:
-        t = r[1] or ""
-        w = WORD.findall(t)
+        t, w = r[1] or "", words(r[1])
         grams = Counter(zip(w, w[1:], w[2:]))
         covered = {i + k for i in range(len(w) - 2) for k in range(3) if grams[tuple(w[i : i + 3])] > 1}
         seen, dup = set(), 0
@@ -229,17 +264,32 @@ def test_quality_rules(docs, rows, nothing):
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         kept = False
         if not failed:
-            best = min(max(divergence_rules.jensen_shannon(divergence_rules.char_histogram(t.encode()), c) / divergence_rules.MAX_CHAR_DISTANCE, divergence_rules.jensen_shannon(divergence_rules.word_histograms(t.encode())[x], h) / divergence_rules.MAX_WORD_DISTANCE) for x, (c, h) in refs.items())
-            char, word, _ = divergence_rules.fit(t.encode(), refs)
-            slack = divergence_rules.SLACK / len(w) ** 0.5
-            assert best == pytest.approx(max(char / divergence_rules.MAX_CHAR_DISTANCE, word / divergence_rules.MAX_WORD_DISTANCE))
-            kept = char <= divergence_rules.MAX_CHAR_DISTANCE + slack and word <= divergence_rules.MAX_WORD_DISTANCE + slack
-        want[r[0], len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), dup, len(covered), failed, kept] += 1
-    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in divergence_rules.quality_rules(docs).collect())
+            slack, ws = 0.5 / math.sqrt(len(w)), parted(t)
+            best = None
+            for lang, (chars, means, common) in refs.items():
+                hits = [ws.count(x) for x in common]
+                d = brute_distance(brute_classes(t), chars), brute_distance([*hits, len(ws) - sum(hits)], means) if ws else 1.0
+                best = min(filter(None, [best, (max(d[0] / 0.14, d[1] / 0.42), lang, d)]))
+            kept = best[2][0] <= 0.14 + slack and best[2][1] <= 0.42 + slack or r[2] is not None and r[2] not in refs
+        yield r[0], len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), dup, len(covered), failed, kept
+
+
+def test_quality_rules(spark, docs, rows, nothing):
+    rng = random.Random(8)
+    other = [f"z{c}{d}" for c in "aeiou" for d in "bdg"]
+    prose = lambda words, k: " ".join(rng.choices(words, k=k))
+    more = [(1000 + i, prose(other, 80), "xx", None, None, 1.0, 7, "clash") for i in range(25)] + [(2000, prose(other, 90), "rare", None, None, 1.0, 7, "clash"), (2001, "### $$$ %%% @@@ ~~~ " * 5 + prose(other, 60), "xx", None, None, 1.0, 7, "clash")]
+    more += [(3000 + i, prose(divergence_rules.COMMON_WORDS["es"], 12) + " " + prose(other, 60), "es", None, None, 1.0, 7, "clash") for i in range(3)]  # too few for a reference of their own
+    rows = [*rows, *more]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = Counter(brute_verdicts(rows, divergence_rules.COMMON_WORDS))
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in divergence_rules.quality_rules(df).collect())
     assert got == want
+    kept = {k[0] for k in want if k[-1]}
+    assert {1000 + i for i in range(25)} <= kept and 2000 in kept and any(k[1] > 50 and not k[6] and not k[7] for k in want)
     assert divergence_rules.quality_rules(nothing).count() == 0 and divergence_rules.keep_passing(nothing).count() == 0
-    assert Counter(r.doc_id for r in divergence_rules.keep_passing(docs).collect()) == Counter(k[0] for k in want.elements() if k[-1])
-    assert divergence_rules.keep_passing(docs).columns == docs.columns
+    assert Counter(r.doc_id for r in divergence_rules.keep_passing(df).collect()) == Counter(k[0] for k in want.elements() if k[-1])
+    assert divergence_rules.keep_passing(df).columns == docs.columns
 
 
 def test_jensen_shannon_by_hand():
