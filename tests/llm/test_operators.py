@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import io
@@ -363,6 +364,40 @@ def test_shards(docs, rows, nothing):
     assert hilbert_shards.hilbert_shards(nothing).count() == 0
 
 
+def test_steps_compare_whole_values(spark):
+    """Equal depth, against sorted lists: strings that share a long prefix, hot and null values, numbers under and over zero, dates."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["https://a.example/x", "https://z.example/", None] + [f"https://host{k:03d}.example" for k in range(60)] + ["https://hot.example"] * 40), rng.choice([-5.0, -1e9, 0.0, 3.0, 1e12, None]), datetime.date(2020, 1, 1) + datetime.timedelta(days=rng.randint(0, 900))) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b double, c date").repartition(5)
+    df = df.select("a", "b", hilbert_shards.order_value("c", "date").alias("c"))
+    got = hilbert_shards.quantised(df, ["a", "b", "c"]).collect()
+    for name in ("a", "b", "c"):
+        values = sorted(r[name] for r in got if r[name] is not None)
+        step = {r[name]: r[f"{name}_q"] for r in got}
+        assert step.get(None, 0) == 0 and all(r[f"{name}_q"] == step[r[name]] for r in got)
+        distinct = sorted(set(values))
+        assert [step[v] for v in distinct] == sorted(step[v] for v in distinct)
+        if name == "a":
+            bounds = {values[-(-k * len(values) // 16) - 1] for k in range(1, 16)}
+            assert step == {**{v: sum(b < v for b in bounds) for v in distinct}, None: 0}
+    by = {r.a: r.a_q for r in got}
+    assert by["https://a.example/x"] < by["https://z.example/"]
+
+
+def test_shards_prune_files(spark):
+    """A shard's least and greatest values rule out most shards, in every dimension."""
+    rng = random.Random(9)
+    rows = [(i, f"text {i}", f"l{rng.randrange(8)}", f"https://common.example/{rng.randrange(40):02d}", rng.randrange(10_000), 1.0, 7, "clash") for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    placed = {r.doc_id: r.shard for r in hilbert_shards.hilbert_shards(df, 64).collect()}
+    for k in (2, 3, 4):
+        spans = defaultdict(list)
+        for r in rows:
+            spans[placed[r[0]]].append(r[k])
+        hit = np.mean([sum(min(s) <= v <= max(s) for s in spans.values()) / 64 for v in {r[k] for r in rows[:300]}])
+        assert hit < 0.5
+
+
 # ---- op7 --------------------------------------------------------------------------------------
 
 

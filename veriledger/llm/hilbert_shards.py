@@ -5,13 +5,18 @@ Hilbert curve through those steps, rows are put in curve order and the order is
 Rows near each other in all dimensions then share a shard, so minimum and maximum statistics
 of every dimension prune files. The law kept is ``rows``: shard counts are at most one apart.
 
+Steps are of equal depth over all rows: numbers and times by mergeable quantile sketches, strings by
+the exact counts of their distinct values in sorted order, whole strings compared. Either way fifteen
+bounds a dimension are all that is broadcast.
+
 Order: curve index, checksum of the text (copies lie together), doc_id. A total rank is made
 without a single sorting task: range partitions are sorted, written with their task number and
 place, and the tasks' counts (one row a task) are added up.
 
-Defined results: null text has size 8 and checksum 0; null metadata come first in their
-dimension; null ids are placed; repeated rows are placed each; extra columns are ignored; an
-empty table gives no rows.
+Defined results: null text has size 8 and checksum 0; null metadata share the first step of their
+dimension; null ids are placed; repeated rows are placed each, and rows alike in all four keys (ties) in any order,
+which changes no result; very long texts are read once for size and checksum and not carried; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,18 +27,16 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 STEP_BITS = 4
-#: Six bytes of a string keep their order in a long.
-_PREFIX = 6
 
 
-def order_code(column: str, dtype: str) -> Column:
-    """A long that sorts as the column does, as far as its first bytes tell; null is -1."""
+def order_value(column: str, dtype: str) -> Column:
+    """What a dimension is ordered by: numbers and times as doubles, anything else as whole strings."""
     col = F.col(column)
-    if dtype == "string":
-        code = F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, _PREFIX)), 2 * _PREFIX, "0"), 16, 10).cast("long")
-    else:
-        code = F.floor(F.log2(F.greatest(col.cast("double"), F.lit(0.0)) + 1) * 1024).cast("long")
-    return F.coalesce(code, F.lit(-1).cast("long"))
+    if dtype == "date":
+        return F.unix_date(col).cast("double")
+    if dtype in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "timestamp") or dtype.startswith("decimal"):
+        return col.cast("double")
+    return col.cast("string")
 
 
 def hilbert_index(df: DataFrame, coords: list[str], bits: int, name: str) -> DataFrame:
@@ -67,15 +70,32 @@ def hilbert_index(df: DataFrame, coords: list[str], bits: int, name: str) -> Dat
     return df.withColumn(name, place).drop(*x, "_turn")
 
 
-def quantised(df: DataFrame, codes: list[str], bits: int = STEP_BITS) -> DataFrame:
-    """Add ``<code>_q``: the equal-depth step, 0 to 2^bits - 1, of each code. Bounds come from mergeable quantile sketches over all rows."""
-    steps = 1 << bits
+def string_bounds(df: DataFrame, column: str, steps: int, name: str) -> DataFrame:
+    """One row: the sorted values at which the rows, in order of ``column``, pass from one of ``steps`` equal parts to the next.
+
+    Values are counted by aggregation and added up along range partitions, a row a partition for what lies before; no task sorts all values.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ordered = materialise(counts.repartitionByRange(parts, "value").sortWithinPartitions("value").withColumn("_id", F.monotonically_increasing_id()), "values").withColumn("_part", F.shiftright("_id", 33))
+    sums = ordered.groupBy("_part").agg(F.sum("n").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bases = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(whole).alias("_total"))
+    running = F.sum("n").over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    at = ordered.withColumn("_up_to", running).join(F.broadcast(bases), "_part").withColumn("_up_to", F.col("_base") + F.col("_up_to"))
+    passes = F.expr(f"(_up_to - n) * {steps} div _total < least(_up_to * {steps} div _total, {steps - 1})")
+    return at.where(passes).agg(F.sort_array(F.collect_list("value")).alias(name))  # fewer than ``steps`` values
+
+
+def quantised(df: DataFrame, columns: list[str], bits: int = STEP_BITS) -> DataFrame:
+    """Add ``<column>_q``: the equal-depth step, 0 to 2^bits - 1, of each column: how many bounds are less than its value."""
+    steps, kinds = 1 << bits, dict(df.dtypes)
     shares = [k / steps for k in range(1, steps)]
-    bounds = df.agg(*(F.percentile_approx(c, shares, 2000).alias(f"{c}_b") for c in codes))  # one row
-    df = df.crossJoin(F.broadcast(bounds))
-    for c in codes:
-        df = df.withColumn(f"{c}_q", F.expr(f"size(filter({c}_b, b -> b < {c}))"))
-    return df.drop(*(f"{c}_b" for c in codes))
+    for c in columns:
+        bounds = string_bounds(df, c, steps, f"{c}_b") if kinds[c] == "string" else df.agg(F.percentile_approx(c, shares, 2000).alias(f"{c}_b"))
+        df = df.crossJoin(F.broadcast(bounds))  # one row
+    return df.withColumns({f"{c}_q": F.expr(f"size(filter(coalesce({c}_b, array()), b -> b < {c}))") for c in columns}).drop(*(f"{c}_b" for c in columns))
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 24, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = STEP_BITS) -> DataFrame:
@@ -85,7 +105,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, dimensions: tuple[str, .
     codes = [f"_c{i}" for i in range(len(dimensions))]
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        *(order_code(d, kinds[d]).alias(c) for d, c in zip(dimensions, codes)),
+        *(order_value(d, kinds[d]).alias(c) for d, c in zip(dimensions, codes)),
     )
     narrow = materialise(narrow, "shard-keys")  # texts are read once
     placed = hilbert_index(quantised(narrow, codes, bits), [f"{c}_q" for c in codes], bits, "curve").select("doc_id", "size", "text_crc32", "curve")
