@@ -22,7 +22,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veriledger.llm import backoff_lm, decontaminate, divergence_rules, fm_quality, hilbert_shards, line_block_html, pack_concat, simhash_dedup, subword_toxicity, warc
+from veriledger.llm import backoff_lm, common, decontaminate, divergence_rules, fm_quality, hilbert_shards, line_block_html, pack_concat, simhash_dedup, subword_toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, component_id string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +101,81 @@ def test_quality_labels_do_not_reach_held_out_scores(spark, docs, rows):
     assert key(a) == key(b)
 
 
+def test_toxicity_labels_do_not_reach_held_out_scores(spark, docs, rows):
+    held = {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0}
+    a = labels_of(spark, rows, lambda t: int("w1" in t))
+    b = a.withColumn("toxic", F.when(F.col("doc_id").isin(*held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    key = lambda df: sorted((r.doc_id or -1, r.score) for r in subword_toxicity.toxicity_scores(docs, df).collect())
+    assert key(a) == key(b)
+
+
+def test_quality_scores_equal_brute_force(rows):
+    """Features by plain counting over strings, scores by the sum over all pairs."""
+    rng = np.random.default_rng(3)
+    m = fm_quality.FactorisationMachine(0.2, rng.normal(size=fm_quality.N_FEATURES).astype(np.float32) / 9, rng.normal(size=(fm_quality.N_FEATURES, 3)).astype(np.float32) / 9)
+    log_bin = lambda x: min(15, int(math.log2(x + 1)))
+    share = lambda a, b: 0 if not b or a <= 0 else max(1, min(15, 15 + int(1.5 * math.log2(min(1.0, a / b)))))
+    for _, t, _, _, chars, *_ in rows:
+        t = t or ""
+        if len(t) > 2_000:
+            continue
+        w = WORD.findall(t)
+        low = [lower(x) for x in w]
+        size = lambda x: len(x.encode())
+        letters = max(1, sum(map(size, w)))
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        bins = [
+            log_bin(len(w)), min(15, round(letters / len(w))) if w else 0, share(sum(t.count(c) for c in "#*$%&|<>"), len(w)), share(len(re.findall("[A-Z]", t)), letters), share(len(re.findall("[0-9]", t)), letters),
+            share(len(w) - len(set(low)), len(w)), share(sum(a == b for a, b in zip(low, low[1:])), len(w)), share(t.count("|"), len(w)), share(len(lines) - len(set(lines)), len(lines)), share(t.count("!") + t.count("?"), len(w)),
+            share(size(re.sub(r"[\x00-\x7f]", "", t)), letters), log_bin(len(w) / max(1, len(lines))), 0 if chars is None else log_bin(chars),
+        ]
+        x = [(zlib.crc32(k.encode()) % (1 << 17), 1 / math.sqrt(len(set(low)))) for k in set(low)] + [((1 << 17) + 16 * g + b, 0.5) for g, b in enumerate(bins)]
+        want = 0.2 + sum(float(m.w[i]) * a for i, a in x) + sum(float(m.v[i] @ m.v[j]) * a * b for (i, a), (j, b) in itertools.combinations(x, 2))
+        assert m.margins([fm_quality.features(t.encode(), chars)])[0] == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
+def test_toxicity_scores_equal_brute_force(rows):
+    """N-grams and windows word by word, over strings."""
+    rng = np.random.default_rng(5)
+    m = subword_toxicity.SubwordModel(rng.normal(size=(subword_toxicity.N_BUCKETS, 4)).astype(np.float32), rng.normal(size=(2, 4)).astype(np.float32), np.array([0.1, -0.3]))
+    full = 0xFFFFFFFF
+
+    def bucket(h, salt):
+        h = (h ^ salt * 0x9E3779B1 & full) * 0x85EBCA6B & full
+        h = (h ^ h >> 13) * 0xC2B2AE35 & full
+        return (h ^ h >> 16) & subword_toxicity.N_BUCKETS - 1
+
+    def logit(word):
+        s = [ord(c) for c in f"<{word.strip('.,;:!?' + chr(34) + chr(39) + '()[]{}#*$%&|<>')}>"]
+        grams = [bucket(sum(c * pow(0x01000193, k + 1, 1 << 32) for k, c in enumerate(s)) & full, 1)]
+        for n in (3, 4, 5):
+            for i in range(len(s) - n + 1):
+                h = s[i]
+                for c in s[i + 1 : i + n]:
+                    h = h * 0x01000193 & full ^ c
+                grams.append(bucket(h, n))
+        return float(np.mean([m.emb[g] @ (m.out[1] - m.out[0]) for g in grams]))
+
+    texts = [r[1] or "" for r in rows if len(r[1] or "") < 2_000]
+    split = [[lower(x) for x in WORD.findall(t)] for t in texts]
+    known = {x: logit(x) for x in set().union(*split)}
+    for w, got in zip(split, m.score([t.encode() for t in texts])):
+        wins = [set(w[max(0, begin) : begin + 32]) for begin in range(-16, len(w), 16)]
+        worst = max((sum(map(known.get, win)) / (len(win) + 8) for win in wins if win), default=0.0)
+        assert got == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, -0.4 + 8 * worst)))), rel=1e-4)
+
+
+@pytest.mark.parametrize("bound", [0, 400, 10**9])
+def test_training_sample_is_bounded(spark, docs, rows, bound):
+    """Ids that stand on many rows give one, and text stops at the bound."""
+    picked = spark.createDataFrame([(i, i % 2) for i in (0, 1, 2, 3, 4, 9, 77_777)], "doc_id long, _y int")
+    got = common.bounded_sample(docs.select("doc_id", "text").unionByName(docs.select("doc_id", F.lit("other").alias("text")).where("doc_id = 3")), picked, bound).collect()
+    sizes = [len((r.text or "").encode()) for r in got]
+    assert len({r.doc_id for r in got}) == len(got) and all(r._y == r.doc_id % 2 for r in got)
+    assert sum(sizes) <= bound or len(got) == 1
+    assert bound < 10**9 or {r.doc_id for r in got} == {0, 1, 2, 3, 4, 9}
+
+
 def test_toxicity_learns_stems(spark):
     rng = random.Random(1)
     plain, ends = [f"{a}{b}" for a in ("tar", "mol", "ven", "sud", "kir") for b in ("a", "on", "is", "um", "ek")], ["x", "ish", "on", "ful", "est", "ing", "y", "ed", "er", "o"]

@@ -8,7 +8,9 @@ its distinct words. The model is fitted in numpy on a bounded sample of labelled
 
 Defined results: null and empty texts have only the bias and the structure features and get a
 score like any other row; null ids are scored and are never held out unless crc32 of the empty
-text says so; repeated rows are scored each; extra input columns are ignored; an empty table
+text says so; repeated rows (ties) are scored each, alike; very long texts are read whole, in memory that grows with
+their words; in training, ids with several labels take the greatest, and of rows that share an id the text with
+the least hash is read; extra input columns are ignored; an empty table
 gives no rows; with no usable label the score is 0.5, with one class it is a smoothed prior.
 """
 
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, slices, text_bytes
+from .common import bounded_sample, id_bucket, slices, text_bytes
 
 WORD_BITS = 17
 STRUCT_BINS = 16
 #: Offsets of one-hot groups after the hashed words.
 GROUPS = ("words", "word_length", "symbols", "upper", "digits", "distinct", "repeats", "bars", "dup_lines", "marks", "wide", "line_words", "meta_chars")
+#: Most bytes of text that training reads.
+MAX_TRAIN_BYTES = 64_000_000
 N_FEATURES = (1 << WORD_BITS) + len(GROUPS) * STRUCT_BINS
 
 _SYMBOLS = b"#*$%&|<>"
@@ -140,18 +144,13 @@ class FactorisationMachine:
         return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str, max_train_rows: int) -> DataFrame:
-    """A bounded sample of labelled ids, taken in hash order, joined with the documents: at most ``max_train_rows`` labels."""
+def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "quality", max_train_rows: int = 12_000, max_train_bytes: int = MAX_TRAIN_BYTES) -> FactorisationMachine:
+    """Fit on the executors' features of a sample of at most ``max_train_rows`` labelled ids and ``max_train_bytes`` of text; only hashed features come to the driver."""
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     )
-    return docs.select("doc_id", "text", "n_chars").join(F.broadcast(picked), "doc_id")
-
-
-def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "quality", max_train_rows: int = 12_000) -> FactorisationMachine:
-    """Fit on the executors' features of the sample; only hashed features come to the driver."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "qua
                 y = b.column(b.schema.get_field_index("_y")).slice(start, size)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), y.cast(pa.int32()), pa.array([r[0].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())], ["doc_id", "y", "idx", "val"])
 
-    sample = training_rows(docs, labels, learn, label, max_train_rows).mapInArrow(extract, "doc_id long, y int, idx binary, val binary")
+    sample = bounded_sample(docs.select("doc_id", "text", "n_chars"), picked, max_train_bytes).mapInArrow(extract, "doc_id long, y int, idx binary, val binary")
     got = sorted(((r.doc_id, r.y, bytes(r.idx), bytes(r.val)) for r in sample.toLocalIterator()))
     rows = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(x, "<f4")) for _, _, i, x in got]
     return FactorisationMachine.fit(rows, [y for _, y, _, _ in got])

@@ -1,66 +1,105 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, both trained together in numpy.
 
 A word is the bag of its hashed character 3- to 5-grams and itself. A text is read in windows of
-``WINDOW`` words, all of it; a window is the average of its distinct words' vectors, a two-class
-linear softmax reads that average, and the text's score is that of its worst window. One abusive
-sentence in a long text then weighs as much as in a short one, and a word repeated hundreds of
+``WINDOW`` words, all of it, one beginning every half window; a window is the average of its distinct
+words' vectors, a two-class linear softmax reads that average, and the text's score is that of its worst window. One abusive
+sentence in a long text then weighs as much as in a short one, wherever it falls, and a word repeated hundreds of
 times weighs once a window. Embeddings and softmax weights are learned jointly, each text by the
 window that is worst at that moment, so a misspelling never seen shares the vectors of its n-grams.
-Because every step after the lookup is linear, a word's share of the logit is a number that is
-computed once a task and word and then added up.
+Because every step after the lookup is linear, a word's share of the logit is a number that a worker
+computes once and then adds up.
 
 Defined results: null and empty texts get the bias alone; null ids are scored; repeated rows
-are scored each; extra columns are ignored; an empty table gives no rows; with no usable label
+are scored each; very long texts are scored whole, in memory that grows with their words; of windows that are equally bad (ties) any gives
+the score; in training, ids with several labels count as toxic if one says so, and of rows that share an id the text with the
+least hash is read; extra columns are ignored; an empty table gives no rows; with no usable label
 the score is 0.5, with one class a smoothed prior.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, slices, text_bytes
+from .common import bounded_sample, id_bucket, slices, text_bytes
 
 BUCKET_BITS = 17
 N_BUCKETS = 1 << BUCKET_BITS
-_MASK = N_BUCKETS - 1
 _EDGE = b".,;:!?\"'()[]{}#*$%&|<>"
-
-
-def word_key(word: bytes) -> bytes:
-    """Lower-case ASCII, without punctuation at the edges."""
-    return word.lower().strip(_EDGE)
-
-
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word's 3- to 5-grams with boundary marks, and of the whole word. Very long words use their whole length."""
-    key = word_key(word)
-    s = f"<{key.decode('utf-8', 'replace')}>"
-    grams = [s[i : i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)]
-    return [crc32(g.encode("utf-8", "replace")) & _MASK for g in grams] + [crc32(b"\0" + key) & _MASK]
-
-
-def windows(text: bytes) -> list[list[bytes]]:
-    """The distinct words of each run of ``WINDOW`` words, to the text's end."""
-    words = text.split()
-    return [list(dict.fromkeys(words[k : k + WINDOW])) for k in range(0, len(words), WINDOW)]
-
-
-def gram_table(words: list[bytes], step: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
-    """How many distinct buckets each word has, and all words' buckets in a row."""
-    sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    for at in range(0, len(words), step):
-        grams = [list(dict.fromkeys(subwords(w))) for w in words[at : at + step]]
-        sizes.append(np.fromiter(map(len, grams), np.int64, len(grams)))
-        flat.append(np.fromiter((g for gs in grams for g in gs), np.int32, int(sizes[-1].sum())))
-    return np.concatenate(sizes), np.concatenate(flat)
+#: Averages of many words are small numbers; this fixed factor keeps their gradients in range.
+SCALE = 8.0
+#: Zero vectors added to every window's average, so that a few words alone make no strong case.
+PAD = 8
+#: Words of a window.
+WINDOW = 32
+#: Most bytes of text that training reads.
+MAX_TRAIN_BYTES = 48_000_000
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Buckets of 32-bit hashes."""
+    h = (h ^ np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)) & np.uint32(N_BUCKETS - 1)
+
+
+def gram_table(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams each word has, and all words' buckets in a row.
+
+    A word is taken in lower case, without punctuation at its edges and between boundary marks; it has its 3- to 5-grams and itself.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    text = b"\n".join([b"<" + w.lower().strip(_EDGE) + b">" for w in words]).decode("utf-8", "replace")
+    cp = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
+    gap = cp == 10
+    word = np.cumsum(gap, dtype=np.int32)
+    first = np.concatenate([[0], np.flatnonzero(gap) + 1])
+    with np.errstate(over="ignore"):
+        place = np.arange(len(cp)) - first[word]
+        place[gap] = 0
+        power = np.multiply.accumulate(np.full(int(place.max()) + 1, 0x01000193, np.uint32))
+        term = cp * power[place]
+        term[gap] = 0
+        owners, buckets = [np.arange(len(words), dtype=np.int32)], [_mixed(np.add.reduceat(term, first, dtype=np.uint32), 1)]
+        h = cp.copy()
+        for n in range(2, 6):
+            h = h[:-1] * np.uint32(0x01000193) ^ cp[n - 1 :]
+            if n >= 3:
+                inside = np.flatnonzero((word[: len(h)] == word[n - 1 :]) & ~gap[: len(h)])
+                owners.append(word[inside])
+                buckets.append(_mixed(h[inside], n))
+    owner = np.concatenate(owners)
+    return np.bincount(owner, minlength=len(words)), np.concatenate(buckets)[np.argsort(owner, kind="stable")].astype(np.int32)
+
+
+def split(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def window_means(logit: np.ndarray, number: np.ndarray, lengths: np.ndarray, offset: int) -> np.ndarray:
+    """The greatest padded mean over the windows of each text, whose words are ``number`` with their ``logit``; windows begin ``offset`` words early. Texts have a word at least."""
+    first = np.cumsum(lengths) - lengths
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(number)) - first[doc]
+    begin = (place + offset) // WINDOW * WINDOW - offset  # of the word's window, in its text
+    # A word counts unless it stands in the same window before.
+    order = np.lexsort((number, doc))
+    same = (number[order[1:]] == number[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    before = np.full(len(number), -WINDOW - 1)
+    before[order[1:][same]] = place[order[:-1][same]]
+    counts = before < begin
+    cuts = np.flatnonzero((place == 0) | ((place + offset) % WINDOW == 0))
+    means = np.add.reduceat(logit * counts, cuts) / (np.add.reduceat(counts.astype(np.int64), cuts) + PAD)
+    return np.maximum.reduceat(means, np.searchsorted(cuts, first))
 
 
 @dataclass
@@ -73,56 +112,73 @@ class SubwordModel:
 
     def __post_init__(self) -> None:
         self._logit = self.emb @ (self.out[1] - self.out[0])  # each bucket's share of the difference of the two logits
-        self._words: dict[bytes, float] = {}
+        self._number: dict[bytes, int] = {}
+        self._words = np.zeros(0)
 
     @classmethod
     def constant(cls, p: float, dim: int = 12) -> SubwordModel:
         return cls(np.zeros((N_BUCKETS, dim), np.float32), np.zeros((2, dim), np.float32), np.array([0.0, math.log(p / (1 - p))]))
 
-    def word_logits(self, words: set[bytes], most: int = 400_000) -> dict[bytes, float]:
-        """Logits of words; those already met in this task are kept, up to a bound on memory."""
-        if len(self._words) > most:
-            self._words.clear()
-        new = [w for w in words if w not in self._words]
-        if new:
-            sizes, flat = gram_table(new)
-            sums = np.add.reduceat(self._logit[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            self._words.update(zip(new, (sums / sizes).tolist()))
-        return self._words
+    def word_logits(self, words: list[bytes]) -> np.ndarray:
+        """Each word's share of the logit: the mean over its n-grams."""
+        sizes, flat = gram_table(words)
+        return np.add.reduceat(self._logit[flat], np.cumsum(sizes) - sizes) / sizes
+
+    def _numbers(self, texts: list[list[bytes]], most: int = 400_000) -> np.ndarray:
+        """Numbers of all words in a row; words already met by this worker are kept, up to a bound on memory."""
+        if len(self._number) > most:
+            self._number, self._words = {}, np.zeros(0)
+        new = list(set().union(*texts).difference(self._number))
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            self._number.update(zip(part, range(len(self._number), len(self._number) + len(part))))
+            self._words = np.concatenate([self._words, self.word_logits(part)])
+        n = sum(map(len, texts))
+        return np.fromiter((k for t in texts for k in map(self._number.__getitem__, t)), np.int32, n)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probability of the toxic class for each whole text."""
-        split = [windows(t) for t in texts]
-        get = self.word_logits({w for ws in split for win in ws for w in win}).__getitem__
-        bias = float(self.bias[1] - self.bias[0])
-        z = np.array([bias + SCALE * max((sum(map(get, win)) / (len(win) + PAD) for win in ws), default=0.0) for ws in split])
+        words = [split(t) for t in texts]
+        worst = np.zeros(len(texts))
+        some = [k for k, ws in enumerate(words) if ws]
+        if some:
+            lengths = np.array([len(words[k]) for k in some])
+            number = self._numbers([words[k] for k in some])
+            logit = self._words[number]
+            worst[some] = np.maximum(window_means(logit, number, lengths, 0), window_means(logit, number, lengths, WINDOW // 2))
+        z = float(self.bias[1] - self.bias[0]) + SCALE * worst
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, docs: Iterable[list[list[bytes]]], labels: list[int], prior: float, dim: int = 12, epochs: int = 8, rate: float = 1.0, batch: int = 64, min_docs: int = 5, floor: float = 1e-4, seed: int = 11) -> SubwordModel:
-        """Softmax cross-entropy with AdaGrad steps on embeddings, weights and biases together. ``docs``: the windows of each text, taken one text at a time.
+    def fit(cls, docs: Iterable[list[bytes]], labels: list[int], prior: float, dim: int = 12, epochs: int = 8, rate: float = 1.0, batch: int = 64, min_docs: int = 5, floor: float = 1e-4, seed: int = 11) -> SubwordModel:
+        """Softmax cross-entropy with AdaGrad steps on embeddings, weights and biases together. ``docs``: the words of each text, taken one text at a time.
 
         N-grams met in fewer than ``min_docs`` texts stay zero, and ``floor`` keeps AdaGrad from large steps on rare ones.
         Both classes weigh the same, as a missed toxic text costs more than a false alarm; ``prior``, the toxic share among all labels, serves only
-        where the sample has one class.
+        where the sample has one class. Windows are those that begin every ``WINDOW`` words.
         """
         bad = sum(labels)
         if not labels or bad in (0, len(labels)):
             return cls.constant((prior * len(labels) + 0.5) / (len(labels) + 1) if labels else 0.5, dim)
         rng = np.random.default_rng(seed)
         ids: dict[bytes, int] = {}
-        rows = []  # for each text: its windows' words in a row, and the windows' sizes
+        rows = []  # for each text: its windows' distinct words in a row, and the windows' sizes
         for d in docs:
-            d = d or [[b""]]
-            rows.append((np.array([ids.setdefault(w, len(ids)) for win in d for w in win], np.int32), np.array([len(win) for win in d], np.int32)))
+            wins = [list(dict.fromkeys(d[k : k + WINDOW])) for k in range(0, len(d), WINDOW)] or [[b""]]
+            rows.append((np.array([ids.setdefault(w, len(ids)) for win in wins for w in win], np.int32), np.array([len(win) for win in wins], np.int32)))
         sizes, flat = gram_table(list(ids))
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = np.cumsum(sizes) - sizes
         del ids
+
+        def grams_of(vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Sizes, starts and buckets of some words."""
+            n = sizes[vocab]
+            starts = np.cumsum(n) - n
+            return n, starts, flat[np.repeat(offsets[vocab] - starts, n) + np.arange(int(n.sum()))]
+
         met = np.zeros(N_BUCKETS, np.int64)
         for words, _ in rows:
-            vocab = np.unique(words)
-            starts = np.cumsum(sizes[vocab]) - sizes[vocab]
-            met[np.unique(flat[np.repeat(offsets[vocab] - starts, sizes[vocab]) + np.arange(int(sizes[vocab].sum()))])] += 1
+            met[np.unique(grams_of(np.unique(words))[2])] += 1
         known = met >= min_docs
         emb = np.zeros((N_BUCKETS, dim), np.float32)
         emb[known] = rng.normal(0, 0.002, (int(known.sum()), dim))
@@ -134,12 +190,9 @@ class SubwordModel:
             order = rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
-                word = np.concatenate([rows[k][0] for k in pick])
+                vocab, local = np.unique(np.concatenate([rows[k][0] for k in pick]), return_inverse=True)
                 lengths = np.concatenate([rows[k][1] for k in pick])
-                vocab, local = np.unique(word, return_inverse=True)
-                n_grams = sizes[vocab]
-                starts = np.cumsum(n_grams) - n_grams
-                gram = flat[np.repeat(offsets[vocab] - starts, n_grams) + np.arange(int(n_grams.sum()))]
+                n_grams, starts, gram = grams_of(vocab)
                 direction = out[1] - out[0]
                 # The worst window of each text, by the model as it stands.
                 logit = np.add.reduceat((emb @ direction)[gram], starts) / n_grams
@@ -152,7 +205,8 @@ class SubwordModel:
                 doc_of = np.repeat(np.arange(len(pick)), lengths[worst])
                 weight = SCALE / (lengths[worst] + PAD)[doc_of]
                 used, chosen = np.unique(chosen, return_inverse=True)
-                vectors = np.stack([emb[gram[starts[k] : starts[k] + n_grams[k]]].mean(axis=0) for k in used])
+                n_used, used_starts, used_gram = grams_of(vocab[used])
+                vectors = np.add.reduceat(emb[used_gram], used_starts, axis=0) / n_used[:, None]
                 mean = np.zeros((len(pick), dim))
                 np.add.at(mean, doc_of, vectors[chosen] * weight[:, None])
                 z = mean @ out.T + bias
@@ -162,10 +216,8 @@ class SubwordModel:
                 err[np.arange(len(pick)), y[pick]] -= 1
                 err *= class_weight[pick][:, None] / len(pick)
                 # Two classes: err[:, 0] = -err[:, 1], so every embedding moves along one direction.
-                word_pull = np.zeros(len(vocab))
-                word_pull[used] = np.bincount(chosen, err[doc_of, 1] * weight, len(used))
-                word_pull /= n_grams
-                pull = np.bincount(gram, np.repeat(word_pull, n_grams), N_BUCKETS)
+                word_pull = np.bincount(chosen, err[doc_of, 1] * weight, len(used)) / n_used
+                pull = np.bincount(used_gram, np.repeat(word_pull, n_used), N_BUCKETS)
                 hit = np.nonzero(pull * known)[0]
                 g_out_now, g_bias_now = err.T @ mean, err.sum(axis=0)
                 g_emb[hit] += pull[hit] ** 2 * float(direction @ direction) / dim
@@ -177,47 +229,41 @@ class SubwordModel:
         return cls(emb, out.astype(np.float32), bias)
 
 
-#: Averages of many words are small numbers; this fixed factor keeps their gradients in range.
-SCALE = 8.0
-#: Zero vectors added to every window's average, so that a few words alone make no strong case.
-PAD = 8
-#: Words of a window.
-WINDOW = 32
-
-
-def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "toxic", max_train_rows: int = 9_000) -> SubwordModel:
-    """Fit on at most ``max_train_rows`` labelled rows, taken in hash order, up to a third of them toxic."""
+def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "toxic", max_train_rows: int = 9_000, max_train_bytes: int = MAX_TRAIN_BYTES) -> SubwordModel:
+    """Fit on at most ``max_train_rows`` labelled texts of ``max_train_bytes`` together, taken in hash order, up to a third of them toxic."""
     clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_y"))
     totals = clean.agg(F.count("*").alias("n"), F.sum("_y").alias("bad")).first()
     third = max_train_rows // 3
     pick = lambda y, n: clean.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = pick(1, third).unionByName(pick(0, max_train_rows - third))
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start, size in slices(b, "text"):
-                packed = [b"\n".join(b" ".join(win) for win in windows(t)) for t in text_bytes(b, "text", start, size)]
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).slice(start, size).cast(pa.int64()), b.column(b.schema.get_field_index("_y")).slice(start, size).cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "y", "windows"])
-
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(bags, "doc_id long, y int, windows binary")
-    got = sorted(((r.doc_id, r.y, bytes(r.windows)) for r in sample.toLocalIterator()), reverse=True)
+    sample = bounded_sample(docs.select("doc_id", "text"), pick(1, third).unionByName(pick(0, max_train_rows - third)), max_train_bytes)
+    got = sorted(((r.doc_id, r._y, (r.text or "").encode()) for r in sample.toLocalIterator()), reverse=True)
     labels_ = [y for _, y, _ in reversed(got)]
     prior = (totals["bad"] or 0) / totals["n"] if totals["n"] else 0.5
 
-    def texts() -> Iterator[list[list[bytes]]]:
+    def texts() -> Iterator[list[bytes]]:
         while got:  # each text is let go once it has been read
-            packed = got.pop()[2]
-            yield [line.split() for line in packed.split(b"\n")] if packed else []
+            yield split(got.pop()[2])
 
     return SubwordModel.fit(texts(), labels_, prior)
 
 
+_models: dict[str, SubwordModel] = {}
+
+
+def shared_model(name: str, parts: tuple[np.ndarray, ...]) -> SubwordModel:
+    """The model of this Python worker, which serves many tasks and keeps the words it has met; one at a time."""
+    if name not in _models:
+        _models.clear()
+        _models[name] = SubwordModel(*parts)
+    return _models[name]
+
+
 def score(docs: DataFrame, model: SubwordModel, held_out: F.Column, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, over whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.emb, model.out, model.bias))
+    shared, name = docs.sparkSession.sparkContext.broadcast((model.emb, model.out, model.bias)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = SubwordModel(*shared.value)
+        m = shared_model(name, shared.value)
         for b in batches:
             for start, size in slices(b, "text"):
                 p = m.score(text_bytes(b, "text", start, size))
@@ -228,10 +274,10 @@ def score(docs: DataFrame, model: SubwordModel, held_out: F.Column, threshold: f
 
 def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.5) -> DataFrame:
     """The rows whose score is under the threshold, all columns as they came."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.emb, model.out, model.bias))
+    shared, name = docs.sparkSession.sparkContext.broadcast((model.emb, model.out, model.bias)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = SubwordModel(*shared.value)
+        m = shared_model(name, shared.value)
         for b in batches:
             for start, size in slices(b, "text"):
                 part = b.slice(start, size)
