@@ -402,6 +402,17 @@ def test_warc_round_trip(spark):
     payloads = warc.read_archives(warc.write_archives(df, archive_bytes=2_000), payloads=True).where("record_type = 'response'").collect()
     assert Counter(bytes(r.payload).decode() for r in payloads) == Counter([*first, "alone"])
     assert warc.round_trip(spark.createDataFrame([], df.schema)).count() == 0
+    records = warc.round_trip(df)
+    assert warc.unmatched_revisits(records).count() == 0
+    assert {r.payload_digest for r in warc.unmatched_revisits(records.where("record_type = 'revisit' OR payload_digest <> '%s'" % warc.sha1_base32(b"same"))).collect()} == {warc.sha1_base32(b"same")}
+
+
+def test_rows_of_one_page_leave_one_response(spark):
+    """Alike and unlike urls, over many rows: the least url is written in full, once."""
+    df = spark.createDataFrame([(7, u, "body") for u in [None, "b", "a", "a", "b"] * 40] + [(9, "z", "body")], "page_id long, url string, html string").repartition(6)
+    got = warc.round_trip(df).collect()
+    assert len(got) == 201 and Counter(r.record_type for r in got) == {"response": 1, "revisit": 200}
+    assert [(r.page_id, r.target_uri) for r in got if r.record_type == "response"] == [(7, "urn:page:7")] and {r.refers_to for r in got} == {None, 7}
 
 
 def test_warc_members_stand_alone_and_damage_is_seen():
@@ -519,6 +530,23 @@ def test_pieces_on_random_text():
         assert np.frombuffer(cache.encode([text.encode()])[0], "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizers_ids(docs, rows, name):
+    """A tokenizer that keeps white space is not cut into words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    want = Counter(tuple([*t.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in rows)
+    tokens = pack_concat.token_table(docs, public_tokenizers.path(name)).collect()
+    assert Counter(tuple(np.frombuffer(r.ids, "<u4").tolist()) for r in tokens) == want
+    # Sequences hold the very stream of the tasks' tokens, cut every 512 and padded at the end.
+    stream = [i for r in sorted(tokens, key=lambda r: (r.part, r.local)) for i in np.frombuffer(r.ids, "<u4").tolist()]
+    got = pack_concat.sequences(docs, public_tokenizers.path(name), 512, 3).orderBy("sequence_id").collect()
+    assert [r.sequence_id for r in got] == list(range(-(-len(stream) // 512)))
+    assert [i for r in got for i in r.ids] == stream + [3] * (-len(stream) % 512)
+
+
 # ---- op8 --------------------------------------------------------------------------------------
 
 
@@ -750,15 +778,15 @@ def brute_leaks(rows, items):
     return Counter({(*k, *v) for k, v in out.items()})
 
 
-@pytest.mark.parametrize("block_rows", [1, 200_000])
-def test_leaks(spark, docs, rows, nothing, block_rows):
+@pytest.mark.parametrize("broadcast_rows", [1, 200_000])
+def test_leaks(spark, docs, rows, nothing, broadcast_rows):
     items = [(1, " ".join((rows[2][1] or "").split()[:30])), (2, "one two"), (3, ""), (4, None), (5, "not in any text at all here"), (6, "one"), (None, "one"), (7, rows[-3][1]), (8, "w1 W2 w3 w4 w5 w6 w7 w8 w9 w10")]
     long = " ".join(rows[-5][1].split()[500:560])
     w = long.split()
     w[30] = "swapped"
     items += [(9, long), (10, " ".join(w))]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
-    got = decontaminate.leaks(docs, bench, block_rows=block_rows)
+    got = decontaminate.leaks(docs, bench, broadcast_rows=broadcast_rows)
     assert Counter((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in got.collect()) == brute_leaks(rows, items)
     bad = {r.doc_id for r in got.collect()}
     kept = decontaminate.drop_leaking(docs, bench)

@@ -2,19 +2,21 @@
 
 A test item counts as leaked into a document when the document holds at least ``threshold`` of
 the item's distinct word shingles. Items are short and documents long, so the sketch is the
-item's: its shingles in the order of their hash, of which the smallest are kept. Items are
-partitioned by their number of shingles, and the partition's size tells how many minimum hashes
-are enough: of n shingles at most floor((1 - threshold) n) may be missing, so any
-floor((1 - threshold) n) + 1 of them include one that a leaking document holds. The search
-therefore misses no leak. Every candidate is then verified by exact containment over the
+item's: the minimum hashes of its shingles. Items are partitioned by size so that all of a partition need
+the same number of minimum hashes: of n shingles at most floor((1 - threshold) n) may be missing, so any
+floor((1 - threshold) n) + 1 of them include one that a leaking document holds; partition k holds the sizes n for which that
+is k. All shingles of a document are looked up, so the search
+misses no leak. Every candidate is then verified by exact containment over the
 shingles' text.
 
-Item sketches are broadcast in blocks of at most ``block_rows`` rows each; more items mean more
-blocks, so what is broadcast does not grow. Documents are never joined with each other.
+Item shingles of at most ``broadcast_rows`` rows are broadcast, their hashes for the search and their text for verification.
+Larger sets are joined by a shuffle of shingle hashes; either way documents are read once for the search. Documents
+are never joined with each other.
 
 Defined results: texts are lower-cased A-Z and cut at ASCII white space; an item of fewer words
 than a shingle is one shingle of all its words and is sought among runs of that many words;
-items of null or empty text match nothing; null and empty documents hold nothing; rows that share
+items of null or empty text match nothing; null and empty documents hold nothing; very long texts are searched whole, as arrays of
+a row's words; an item held to exactly ``threshold`` (a tie) is a leak; rows that share
 a doc_id or an item_id are searched each and reported once with the largest share; a null doc_id
 is reported as null; items without an id are not reported, but documents that hold one are
 dropped; extra columns are ignored; empty tables give no rows.
@@ -29,7 +31,8 @@ from .common import WORD_PATTERN, fold_case, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCK_ROWS = 200_000
+#: Most rows of item shingles that are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def words(text: str) -> Column:
@@ -68,15 +71,12 @@ def item_shingles(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The smallest hashes of each item, as many as its size class needs.
-
-    Items of n shingles may miss ``missing(n)`` of them and still reach the threshold; the
-    class keeps one more than that.
-    """
+    """The minimum hashes of each item, as many as its size partition needs."""
     from pyspark.sql import Window
 
+    parted = items.withColumn("partition", F.col("n") - needed(threshold) + 1)
     place = F.row_number().over(Window.partitionBy("item_id", "width").orderBy("hash", "text"))
-    return items.withColumn("place", place).where(F.col("place") <= F.col("n") - needed(threshold) + 1).select("item_id", "width", "hash")
+    return parted.withColumn("place", place).where(F.col("place") <= F.col("partition")).select("item_id", "width", "hash", "partition")
 
 
 def needed(threshold: float) -> Column:
@@ -88,18 +88,23 @@ def _document_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
 
 
-def candidates(docs: DataFrame, sketch: DataFrame, widths: list[int]) -> DataFrame:
+def _small(df: DataFrame, rows: int, broadcast_rows: int) -> DataFrame:
+    """Broadcast a table of a checked number of rows; leave a larger one to a shuffle."""
+    return F.broadcast(df) if rows <= broadcast_rows else df
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, widths: list[int], n_rows: int, broadcast_rows: int) -> DataFrame:
     """(doc_id, text_hash, item_id): documents that hold at least one sketch hash of an item."""
     hashed = _document_words(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(words("text"), lambda w: F.xxhash64(w)).alias("h"))
     found = None
     for width in widths:
         shingles = hashed.select("doc_id", "text_hash", F.explode(shingle_hashes("h", width)).alias("hash"))
-        hits = shingles.join(F.broadcast(sketch.where(F.col("width") == width).select("item_id", "hash")), "hash").select("doc_id", "text_hash", "item_id")
+        hits = shingles.join(_small(sketch.where(F.col("width") == width).select("item_id", "hash"), n_rows, broadcast_rows), "hash").select("doc_id", "text_hash", "item_id")
         found = hits if found is None else found.unionByName(hits)
     return found.distinct()
 
 
-def verified(docs: DataFrame, found: DataFrame, items: DataFrame, widths: list[int], threshold: float = THRESHOLD) -> DataFrame:
+def verified(docs: DataFrame, found: DataFrame, items: DataFrame, widths: list[int], n_rows: int, broadcast_rows: int, threshold: float = THRESHOLD) -> DataFrame:
     """Exact containment of the candidates: shared shingles are counted over their text."""
     rows = _document_words(docs).withColumn("text_hash", F.xxhash64("text"))
     pairs = found.select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
@@ -109,25 +114,19 @@ def verified(docs: DataFrame, found: DataFrame, items: DataFrame, widths: list[i
     for width in widths:
         shingles = rows.select("doc_id", "text_hash", F.explode(shingle_texts("w", width)).alias("shingle"))
         of_width = items.where(F.col("width") == width).select("item_id", "n", F.col("text").alias("shingle"))
-        hits = shingles.join(F.broadcast(of_width), "shingle").groupBy("doc_id", "text_hash", "item_id", "n").agg(F.count("*").alias("n_shared"))
+        hits = shingles.join(_small(of_width, n_rows, broadcast_rows), "shingle").groupBy("doc_id", "text_hash", "item_id", "n").agg(F.count("*").alias("n_shared"))
         counts = hits if counts is None else counts.unionByName(hits)
     kept = counts.where(F.col("n_shared") >= needed(threshold))
     return kept.join(found, [kept["doc_id"].eqNullSafe(found["doc_id"]), kept["text_hash"] == found["text_hash"], kept["item_id"] == found["item_id"]], "left_semi")
 
 
-def _search(docs: DataFrame, texts: DataFrame, threshold: float, shingle: int, block_rows: int) -> DataFrame:
+def _search(docs: DataFrame, texts: DataFrame, threshold: float, shingle: int, broadcast_rows: int) -> DataFrame:
     """(doc_id, text_hash, item_id, n, n_shared) of every leak of ``texts``, whose item_id is not null and names one text."""
     items = materialise(item_shingles(texts, shingle), "items")
     shape = items.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()  # one row, at most ``shingle`` widths
     widths = sorted(shape["widths"]) or [shingle]
-    blocks = max(1, -(-shape["n"] // block_rows))
-    found = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        part = materialise(candidates(docs, sketches(block, threshold), widths), "candidates")
-        exact = verified(docs, part, block, widths, threshold)
-        found = exact if found is None else found.unionByName(exact)
-    return found
+    found = materialise(candidates(docs, sketches(items, threshold), widths, shape["n"], broadcast_rows), "candidates")
+    return verified(docs, found, items, widths, shape["n"], broadcast_rows, threshold)
 
 
 def _item_texts(benchmark: DataFrame) -> DataFrame:
@@ -135,17 +134,21 @@ def _item_texts(benchmark: DataFrame) -> DataFrame:
     return benchmark.where("text IS NOT NULL").select(F.xxhash64("text").alias("item_id"), "text").distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared, containment for every leak of an item with an id; texts are not carried along."""
     named = benchmark.where("item_id IS NOT NULL")
-    found = _search(docs, _item_texts(named), threshold, shingle, block_rows).withColumnRenamed("item_id", "item_key")
+    found = _search(docs, _item_texts(named), threshold, shingle, broadcast_rows).withColumnRenamed("item_id", "item_key")
     ids = named.select(F.xxhash64("text").alias("item_key"), "item_id").distinct()
     share = F.col("n_shared") / F.col("n")
     best = found.join(ids, "item_key").groupBy("doc_id", "item_id").agg(F.max(F.struct(share.alias("containment"), "n_shared", "n")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").alias("n_item_shingles"), "b.n_shared", "b.containment")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents that hold no benchmark item, with an id or without; all columns as they came. Rows go by doc_id and text."""
-    bad = _search(docs, _item_texts(benchmark), threshold, SHINGLE, BLOCK_ROWS).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Documents that hold no benchmark item, with an id or without; all columns as they came. Rows go by doc_id and text.
+
+    The list of leaks is written first, so that Spark knows its size: under its threshold texts stay where they are, above it they move once.
+    """
+    found = _search(docs, _item_texts(benchmark), threshold, SHINGLE, broadcast_rows)
+    bad = materialise(found.select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct(), "leaks")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs["text"]) == bad["__bad_hash"]), "left_anti")

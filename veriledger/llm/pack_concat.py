@@ -7,11 +7,13 @@ cuts each document at multiples of the window. A document that crosses a boundar
 record on either side; every id lies in one piece, and only the last window can be short.
 
 Defined results: null and empty texts are the end id alone; null ids are packed; repeated
-rows are packed each; extra columns are ignored; an empty table gives no rows.
+rows (ties) are packed each; a very long text is encoded whole, in memory that grows with it, and cut into as many pieces as it needs;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -51,8 +53,23 @@ def pieces(text: bytes) -> list[bytes]:
     return text.split() if b"<|" in text else _CLOSING.sub(r" \1", text.lower().decode("utf-8")).encode("utf-8").split()
 
 
+def cuts_words(config: dict) -> bool:
+    """Whether a tokenizer's file says what ``pieces`` relies on: case and composition are normalised, words are cut at white space and marks, white space is dropped, word ends are marked."""
+    normalisers = [x.get("type") for x in (config.get("normalizer") or {}).get("normalizers", [])]
+    cutters = (config.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    cut = cutters[0]
+    return (
+        normalisers == ["NFC", "Replace", "Lowercase"]
+        and [x.get("type") for x in cutters] == ["Split", "ByteLevel"]
+        and (cut.get("behavior"), cut.get("invert"), cutters[1].get("add_prefix_space")) == ("Removed", True, False)
+        and (cut.get("pattern") or {}).get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and (config["model"].get("type"), config["model"].get("end_of_word_suffix"), config["model"].get("dropout")) == ("BPE", "</w>", None)
+        and all(t["content"].startswith("<|") for t in config.get("added_tokens", []))
+    )
+
+
 class WordCache:
-    """Ids of pieces, each encoded once while it stays in use.
+    """Ids of pieces, each encoded once while it stays in use; with a tokenizer that does not cut words, whole texts are encoded.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     pieces in order. Two generations of at most ``most`` pieces bound memory: when the young one
@@ -64,6 +81,8 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = cuts_words(json.load(f))
         self.ids: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -72,6 +91,8 @@ class WordCache:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text, without the end id."""
+        if not self.by_pieces:
+            return [np.array(x, "<u4").tobytes() for x in self._encode(texts)]
         split = [pieces(t) for t in texts]
         if len(self.ids) > self.most:
             self.ids, self.old = {}, self.ids

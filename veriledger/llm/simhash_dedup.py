@@ -15,7 +15,7 @@ Steps
    the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of
-one or two words hash their whole word sequence; null ids are members but never name a
+one or two words hash their whole word sequence; very long texts are hashed in runs; a bit set in exactly half of the hashes (a tie) is not set; null ids are members but never name a
 component unless all its ids are null; repeated rows are repeated in the result; extra columns
 are ignored; an empty table gives no rows.
 """
@@ -260,13 +260,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id, all columns as they came.
 
-    Null ids come last; among rows of one id the text with the smallest hash stays, and repeated rows leave one row.
+    Null ids come last; among rows of one id the text with the smallest hash stays, and rows repeated with id and text leave one row.
+    What goes is listed first, as (id, text hash): under Spark's broadcast threshold texts stay where they are, above it they move once.
+    Only rows of a kept text that stands there twice are brought together to leave one.
     """
     fps = materialise(fingerprint_table(docs), "fingerprints")
     rooted = component_table(fps)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = fps.groupBy("fp").agg(F.min(rank).alias("rank")).join(rooted, "fp").groupBy("root").agg(F.min("rank").alias("rank"))
-    kept = first.select(F.col("rank.doc_id").alias("__kept_id"), F.col("rank.text_hash").alias("__kept_hash")).distinct()
-    rows = docs.withColumn("__row_hash", F.xxhash64("text"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__kept_id"]) & (rows["__row_hash"] == kept["__kept_hash"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__row_hash"]).drop("__row_hash")
+    rows = fps.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(rooted, "fp")
+    first = rows.groupBy("root").agg(F.min(rank).alias("rank"))
+    fate = rows.join(first, "root").select("doc_id", "text_hash", "n", F.col("rank.doc_id").eqNullSafe(F.col("doc_id")).alias("same_id"), (F.col("rank.text_hash") == F.col("text_hash")).alias("same_text"))
+    marked = fate.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("same_id") & F.col("same_text")).alias("__stays"), F.col("n").alias("__n"))
+    marked = materialise(marked.where("NOT __stays OR __n > 1"), "fates")  # what goes, and what stays but stands there twice
+    hashed = docs.withColumn("__row_hash", F.xxhash64("text"))
+    same = lambda other: hashed["doc_id"].eqNullSafe(other["__id"]) & (hashed["__row_hash"] == other["__hash"])
+    once = hashed.join(marked, same(marked), "left_anti")
+    twice = marked.where("__stays")
+    if not twice.limit(1).count():
+        return once.drop("__row_hash")
+    return once.unionByName(hashed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__row_hash"])).drop("__row_hash")

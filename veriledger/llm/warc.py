@@ -12,7 +12,8 @@ checked against the bytes. Memory is bounded by one record.
 
 Defined results: null html is an empty payload; null ids are written last and are never
 referred to while an id with the same payload exists; null urls get a urn of the page; repeated
-rows with one page_id: one is the response and the others revisit it; extra columns are
+rows with one page_id and payload (ties): one of those with the least url is the response and the others revisit it; a very long page
+is one record, held in memory whole, as Content-Length stands before it; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -28,7 +29,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch_path
@@ -143,10 +144,14 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     marked = rows.join(shared, rows["digest"] == shared["_digest"], "left").withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first_id")))
     marked = marked.withColumn("revisit", F.col("_digest").isNotNull() & ~F.col("is_first"))
     if shared.where("repeated").limit(1).count():
-        # The id written in full stands on several rows: one of them is the response.
+        # The id written in full stands on several rows: one of them is the response. Rows alike in all are one row and a number.
         tied = F.col("is_first") & F.coalesce("repeated", F.lit(False))
-        place = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
-        marked = marked.where(~tied).unionByName(marked.where(tied).withColumn("revisit", place > 1))
+        alike = marked.where(tied).groupBy("digest", "page_id", "url", "first_id").agg(F.count("*").alias("copies"), F.first("html").alias("html"))
+        lead = alike.groupBy("digest").agg(F.min(F.struct(F.col("url").isNotNull().alias("named"), "url")).alias("lead")).withColumnRenamed("digest", "_lead_of")
+        spread = alike.join(lead, alike["digest"] == lead["_lead_of"]).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+        spread = spread.withColumn("revisit", (F.col("copy") > 1) | ~F.col("url").eqNullSafe(F.col("lead.url")))
+        columns = ["page_id", "url", "html", "revisit", "first_id"]
+        marked = marked.where(~tied).select(columns).unionByName(spread.select(columns))
     return marked.select("page_id", "url", "html", "revisit", "first_id")
 
 
@@ -216,6 +221,13 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     return manifest.select("path").repartition(parts, "path").mapInArrow(run, schema)
 
 
+def unmatched_revisits(records: DataFrame) -> DataFrame:
+    """Revisit records whose page and digest no response of ``records`` has: none in whole archives."""
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"))
+    revisits = records.where("record_type = 'revisit'")
+    return revisits.join(responses, revisits["refers_to"].eqNullSafe(responses["_page"]) & (revisits["payload_digest"] == responses["_digest"]), "left_anti")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages, read the archives back: one row a page."""
     return read_archives(write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
