@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from veriledger.operators import catalogues
@@ -60,3 +61,13 @@ def test_scratch_tables_can_be_dropped(spark):
     at = df.inputFiles()[0].rsplit("/", 1)[0]
     scratch.drop_all(spark)
     assert not os.path.exists(at.removeprefix("file://"))
+
+
+def test_scratch_folder_is_named_on_a_cluster(spark, monkeypatch):
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k: None)}))})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.root(Far)
+    assert scratch.root(spark).startswith("file:")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ _made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode, as in tests; on a cluster executors would not share it."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="veriledger-")
     return _own
