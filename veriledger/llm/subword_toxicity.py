@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ PAD = 8
 #: Words of a window.
 WINDOW = 32
 #: Most bytes of text that training reads.
-MAX_TRAIN_BYTES = 48_000_000
+MAX_TRAIN_BYTES = 40_000_000
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -166,9 +167,12 @@ class SubwordModel:
         for d in docs:
             wins = [list(dict.fromkeys(d[k : k + WINDOW])) for k in range(0, len(d), WINDOW)] or [[b""]]
             rows.append((np.array([ids.setdefault(w, len(ids)) for win in wins for w in win], np.int32), np.array([len(win) for win in wins], np.int32)))
-        sizes, flat = gram_table(list(ids))
-        offsets = np.cumsum(sizes) - sizes
+        words = list(ids)
         del ids
+        parts = [gram_table(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]
+        sizes, flat = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        offsets = np.cumsum(sizes) - sizes
+        del words, parts
 
         def grams_of(vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Sizes, starts and buckets of some words."""
@@ -177,8 +181,8 @@ class SubwordModel:
             return n, starts, flat[np.repeat(offsets[vocab] - starts, n) + np.arange(int(n.sum()))]
 
         met = np.zeros(N_BUCKETS, np.int64)
-        for words, _ in rows:
-            met[np.unique(grams_of(np.unique(words))[2])] += 1
+        for words_of, _ in rows:
+            met[np.unique(grams_of(np.unique(words_of))[2])] += 1
         known = met >= min_docs
         emb = np.zeros((N_BUCKETS, dim), np.float32)
         emb[known] = rng.normal(0, 0.002, (int(known.sum()), dim))
@@ -236,13 +240,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "tox
     third = max_train_rows // 3
     pick = lambda y, n: clean.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = bounded_sample(docs.select("doc_id", "text"), pick(1, third).unionByName(pick(0, max_train_rows - third)), max_train_bytes)
-    got = sorted(((r.doc_id, r._y, (r.text or "").encode()) for r in sample.toLocalIterator()), reverse=True)
+    got = sorted(((r[0], r[1], zlib.compress((r[2] or "").encode(), 1)) for r in sample.select("doc_id", "_y", "text").toLocalIterator()), reverse=True)
     labels_ = [y for _, y, _ in reversed(got)]
     prior = (totals["bad"] or 0) / totals["n"] if totals["n"] else 0.5
 
     def texts() -> Iterator[list[bytes]]:
         while got:  # each text is let go once it has been read
-            yield split(got.pop()[2])
+            yield split(zlib.decompress(got.pop()[2]))
 
     return SubwordModel.fit(texts(), labels_, prior)
 
