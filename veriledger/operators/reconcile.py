@@ -2,19 +2,25 @@
 
 The comparison engine of the original is not visible; the rules here follow the contract that
 its consumers show, and docstrings say where a rule is inferred. All comparisons of a
-transaction are made from one grouping by transaction: its documents come onto one row, and the
-rule list is exploded against it, so there is one shuffle however many rules there are.
+transaction are made from one grouping by transaction: its documents come onto one row, whether one of
+its references agrees is read off that row, and the rule list is exploded against it. Rows stay where that grouping
+put them, so statuses and roll-ups of a transaction need no further shuffle. Lines of documents are
+grouped by transaction and line, so a transaction of very many lines is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PAIRS = (("commercial_invoice", "packing_list"), ("commercial_invoice", "bill_of_lading"), ("packing_list", "bill_of_lading"))
 REFERENCES = ("invoice_number", "bill_of_lading_number", "purchase_order_number", "packing_list_number", "buyer_reference", "document_reference", "booking_number")
 EVENTS = ("shipment_date", "on_board_date", "departure_date")
-ITEM_MEASURES = ("unit", "quantity", "package_count", "gross_weight", "net_weight")
+ITEM_MEASURES = ("product_code", "description", "unit", "quantity", "package_count", "gross_weight", "net_weight")
+#: Documents whose lines are compared with each other.
+ITEM_PAIRS = (("commercial_invoice", "packing_list"), ("packing_list", "bill_of_lading"))
 
 
 def comparison_rules() -> list[tuple]:
@@ -53,25 +59,15 @@ def links(ledger: DataFrame, documents: DataFrame) -> DataFrame:
     as_rows = lambda df, *keys: df.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("ref_type"), F.col(k).alias("ref")) for k in kinds))).alias("r")).select(*keys, "r.*").where("ref IS NOT NULL")
     met = as_rows(ledger, "transaction_id").join(as_rows(documents, "entity_id", "document_type"), ["ref_type", "ref"])
     pairs = met.groupBy("entity_id", "document_type", "transaction_id").agg(F.count("*").alias("n_references"))
-    one_tx = pairs.groupBy("entity_id").agg(F.count("*").alias("n")).where("n = 1").select("entity_id")
-    one_doc = pairs.groupBy("transaction_id", "document_type").agg(F.count("*").alias("n")).where("n = 1").select("transaction_id", "document_type")
-    return pairs.join(one_tx, "entity_id", "left_semi").join(one_doc, ["transaction_id", "document_type"], "left_semi")
+    torn = pairs.withColumn("_of_entity", F.count("*").over(Window.partitionBy("entity_id")))
+    only = torn.groupBy("transaction_id", "document_type").agg(F.count("*").alias("_n"), F.first("entity_id").alias("entity_id"), F.first("n_references").alias("n_references"), F.max("_of_entity").alias("_of_entity"))
+    return only.where("_n = 1 AND _of_entity = 1").select("transaction_id", "document_type", "entity_id", "n_references")
 
 
 def unmatched_documents(documents: DataFrame, linked: DataFrame) -> DataFrame:
     return documents.join(linked.select("entity_id"), "entity_id", "left_anti")
 
 
-def presence_checks(ledger: DataFrame, linked: DataFrame, expected: tuple[str, ...]) -> DataFrame:
-    """A check for each transaction and expected document type; an absent one cannot be evaluated."""
-    wanted = ledger.select("transaction_id", F.explode(F.array(*map(F.lit, expected))).alias("document_type"))
-    found = wanted.join(linked.select("transaction_id", "document_type", "entity_id"), ["transaction_id", "document_type"], "left")
-    absent = F.col("entity_id").isNull()
-    return found.select(
-        "transaction_id", "document_type", F.lit("document_presence").alias("type"), F.when(absent, "cannot_evaluate").otherwise("pass").alias("status"), F.when(absent, "required_document_not_linked").alias("reason")
-    )
-
-
 def is_same(left: Column, right: Column) -> Column:
     """Numbers compare as numbers, everything else as text."""
     x, y = left.try_cast("decimal(38,9)"), right.try_cast("decimal(38,9)")
@@ -88,57 +84,126 @@ def status_of(left: Column, right: Column, left_status: Column, right_status: Co
     return status, reason
 
 
-def checks(ledger: DataFrame, documents: DataFrame, extraction: str = "extraction_status") -> DataFrame:
-    """One row a transaction and rule whose two documents are linked: values, units, status, reason.
+#: Columns of a check. ``ord`` orders the checks of a transaction; ``item`` names the line of an item check; ``linked``: some reference of the transaction agrees.
+CHECK_COLUMNS = (
+    "transaction_id check_id ord type event item left_doc left_field left_value right_doc right_field right_value left_unit right_unit status reason has_review linked"
+).split()
 
-    Documents of a transaction are brought onto its row by one grouping (a struct a document type,
-    reduced in the map tasks), the ledger is joined on the same key, and every rule is then a pair
-    of plain column references, exploded from an array of fixed size.
-    """
+
+def _sides(ledger: DataFrame, documents: DataFrame, extraction: str) -> tuple[DataFrame, list[str], list[str]]:
+    """A row a transaction: its ledger row and each of its documents as structs; and the names of their fields."""
     kinds = sorted({d for r in comparison_rules() for d in (r[3], r[5])} - {"ledger"})
     names = sorted({f for r in comparison_rules() for f in (r[4], r[6], r[7], r[8]) if f and f in documents.columns})
     whole = F.struct(*(F.col(n) for n in names), F.col(extraction).alias("st"))
-    sides = documents.groupBy("tx").agg(*(F.first(F.when(F.col("document_type") == k, whole), ignorenulls=True).alias(k) for k in kinds))
+    sides = documents.groupBy("transaction_id").agg(*(F.first(F.when(F.col("document_type") == k, whole), ignorenulls=True).alias(k) for k in kinds))
     ledger_names = [c for c in ledger.columns if c not in ("tx", "transaction_id")]
-    wide = ledger.select("tx", "transaction_id", F.struct(*ledger_names, F.lit("accepted").alias("st")).alias("ledger")).join(sides, "tx")
+    return ledger.select("transaction_id", F.struct(*ledger_names, F.lit("accepted").alias("st")).alias("ledger")).join(sides, "transaction_id", "left"), names, ledger_names
+
+
+def checks(ledger: DataFrame, documents: DataFrame, expected: tuple[str, ...] = (), extraction: str = "extraction_status") -> DataFrame:
+    """One row a transaction and rule whose two documents are there, and one for each ``expected`` document type: absent ones cannot be evaluated.
+
+    Documents carry the transaction they are linked to. They are brought onto its row by one grouping (a struct a document type,
+    reduced in the map tasks), the ledger is joined on the same key, and every rule is then a pair
+    of plain column references, exploded from an array of fixed size.
+    """
+    wide, names, ledger_names = _sides(ledger, documents, extraction)
+    none = F.lit(None).cast("string")
 
     def value(doc: str, field: str) -> Column:
         known = field in (ledger_names if doc == "ledger" else names)
-        return F.col(f"{doc}.{field}").cast("string") if field and known else F.lit(None).cast("string")
+        return F.col(f"{doc}.{field}").cast("string") if field and known else none
 
-    def one(rule: tuple) -> Column:
+    def one(rule: tuple) -> tuple[Column, Column]:
+        """The check of a rule, and whether it is a reference that agrees."""
         no, kind, event, ld, lf, rd, rf, lu, ru = rule
         there = F.col(ld).isNotNull() & F.col(rd).isNotNull()
         if event in ("buyer", "seller"):
             there = there & (F.col("ledger.counterparty_role") == event)
             event = ""
+        lst, rst, lv, rv = F.col(f"{ld}.st"), F.col(f"{rd}.st"), value(ld, lf), value(rd, rf)
+        status, reason = status_of(lv, rv, lst, rst, F.lit(lu != ""), value(ld, lu), value(rd, ru))
+        row = {
+            "check": F.lit(str(no)), "ord": F.lit(f"{no:04d}"), "type": F.lit(kind), "event": F.lit(event), "left_doc": F.lit(ld), "left_field": F.lit(lf), "left_value": lv, "right_doc": F.lit(rd), "right_field": F.lit(rf), "right_value": rv,
+            "left_unit": value(ld, lu), "right_unit": value(rd, ru), "status": status, "reason": reason, "has_review": (F.coalesce(lst, F.lit("")) == "review") | (F.coalesce(rst, F.lit("")) == "review"),
+        }
+        agrees = there & (status == "pass") if kind.startswith("reference_") else F.lit(False)
+        return F.when(there, F.struct(*(c.alias(n) for n, c in row.items()))), agrees
+
+    def presence(dt: str) -> Column:
+        absent = F.col(dt).isNull()
         row = {
-            "rule_no": F.lit(no), "type": F.lit(kind), "event": F.lit(event), "left_doc": F.lit(ld), "left_field": F.lit(lf), "left_value": value(ld, lf), "right_doc": F.lit(rd), "right_field": F.lit(rf), "right_value": value(rd, rf),
-            "has_unit": F.lit(lu != ""), "left_unit": value(ld, lu), "right_unit": value(rd, ru), "lst": F.col(f"{ld}.st"), "rst": F.col(f"{rd}.st"),
+            "check": F.lit(dt), "ord": F.lit(f"1000:{dt}"), "type": F.lit("document_presence"), "event": F.lit(dt), **{c: none for c in ("left_doc", "left_field", "left_value", "right_doc", "right_field", "right_value", "left_unit", "right_unit")},
+            "status": F.when(absent, "cannot_evaluate").otherwise("pass"), "reason": F.when(absent, "required_document_not_linked"), "has_review": F.lit(False),
         }
-        return F.when(there, F.struct(*(c.alias(n) for n, c in row.items())))
-
-    rows = wide.select("transaction_id", F.explode(F.array_compact(F.array(*map(one, comparison_rules())))).alias("r")).select("transaction_id", "r.*")
-    status, reason = status_of(*(F.col(c) for c in ("left_value", "right_value", "lst", "rst", "has_unit", "left_unit", "right_unit")))
-    unsure = (F.coalesce("lst", F.lit("")) == "review") | (F.coalesce("rst", F.lit("")) == "review")
-    return rows.select(
-        "transaction_id", F.concat_ws(":", "transaction_id", F.col("rule_no").cast("string")).alias("check_id"), "type", "event", "left_doc", "left_field", "left_value", "right_doc", "right_field", "right_value",
-        "left_unit", "right_unit", status.alias("status"), reason.alias("reason"), unsure.alias("has_review"),
-    )
-
-
-def item_checks(items: DataFrame, left: str = "commercial_invoice", right: str = "packing_list") -> DataFrame:
-    """Full outer match of two documents' lines by product code, where the code names one line on either side."""
-    side = lambda dt, tag: items.where(F.col("document_type") == dt).groupBy("tx", "product_code").agg(F.count("*").alias(f"n_{tag}"), *(F.first(m).alias(f"{m}_{tag}") for m in ITEM_MEASURES))
-    both = side(left, "l").join(side(right, "r"), ["tx", "product_code"], "full")
-    unmatched = F.col("n_l").isNull() | F.col("n_r").isNull() | (F.col("n_l") > 1) | (F.col("n_r") > 1)
-    pieces = F.when(unmatched, F.array(F.struct(F.lit("unmatched_item").alias("type"), F.lit(None).cast("string").alias("left_value"), F.lit(None).cast("string").alias("right_value"), F.lit(False).alias("has_unit")))).otherwise(
-        F.array(*(F.struct(F.lit(f"item_{m}_comparison").alias("type"), F.col(f"{m}_l").alias("left_value"), F.col(f"{m}_r").alias("right_value"), F.lit(m == "quantity").alias("has_unit")) for m in ITEM_MEASURES))
+        return F.struct(*(c.alias(n) for n, c in row.items()))
+
+    made = [one(r) for r in comparison_rules()]
+    linked = reduce(lambda a, b: a | b, (F.coalesce(a, F.lit(False)) for _, a in made))
+    rows = wide.withColumn("linked", linked).select("transaction_id", "linked", F.explode(F.array_compact(F.array(*(c for c, _ in made), *map(presence, expected)))).alias("r"))
+    return rows.select("transaction_id", "linked", "r.*").withColumns({"check_id": F.concat_ws(":", "transaction_id", "check"), "item": none}).select(*CHECK_COLUMNS)
+
+
+def presence_checks(checked: DataFrame) -> DataFrame:
+    return checked.where("type = 'document_presence'").select("transaction_id", F.col("event").alias("document_type"), "type", "status", "reason")
+
+
+def line_keys(items: DataFrame) -> DataFrame:
+    """Add ``line``: what a line is matched by. Its product code; without one, the code that lines of the same description have in the
+    transaction, if that is one code; else its description (fallback inferred)."""
+    told = F.lower(F.trim("description"))
+    same = Window.partitionBy("transaction_id", "_told")
+    coded = items.withColumn("_told", told).withColumns({"_least": F.min("product_code").over(same), "_most": F.max("product_code").over(same)})
+    one = F.when(F.col("_least") == F.col("_most"), F.col("_least"))
+    return coded.withColumn("line", F.coalesce("product_code", one, F.concat(F.lit("d:"), "_told"), F.lit("d:"))).drop("_told", "_least", "_most")
+
+
+def item_checks(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """Comparisons of the lines of two documents of a transaction, matched where the line's key names one line on either side.
+
+    A line without such a counterpart is an unmatched item. Where one of the two documents has no lines at all, that is one check of
+    the pair, and none of its lines is compared.
+    """
+    kinds = sorted({d for p in ITEM_PAIRS for d in p})
+    tables = items.groupBy("transaction_id").agg(*(F.max(F.col("document_type") == k).alias(f"has_{k}") for k in kinds))
+    there = documents.groupBy("transaction_id").agg(*(F.max(F.col("document_type") == k).alias(f"is_{k}") for k in kinds)).join(tables, "transaction_id", "left")
+    both = lambda a, b: F.col(f"is_{a}") & F.col(f"is_{b}")
+    has = lambda k: F.coalesce(F.col(f"has_{k}"), F.lit(False))
+    pair_ok = there.select("transaction_id", *((both(a, b) & has(a) & has(b)).alias(f"ok{n}") for n, (a, b) in enumerate(ITEM_PAIRS)), *((both(a, b) & ~(has(a) & has(b))).alias(f"gone{n}") for n, (a, b) in enumerate(ITEM_PAIRS)))
+    of_kind = lambda k, c: F.when(F.col("document_type") == k, c)
+    lines = line_keys(items).groupBy("transaction_id", "line").agg(
+        *(F.count(of_kind(k, F.lit(1))).alias(f"n_{k}") for k in kinds),
+        *(F.first(of_kind(k, F.struct(*ITEM_MEASURES)), ignorenulls=True).alias(k) for k in kinds),
     )
-    rows = both.select("tx", "product_code", "unit_l", "unit_r", F.explode(pieces).alias("p")).select("tx", "product_code", "unit_l", "unit_r", "p.*")
-    status, reason = status_of(F.col("left_value"), F.col("right_value"), F.lit(""), F.lit(""), F.col("has_unit"), F.col("unit_l"), F.col("unit_r"))
-    alone = F.col("type") == "unmatched_item"
-    return rows.select("tx", "product_code", "type", "left_value", "right_value", F.when(alone, "review").otherwise(status).alias("status"), F.when(alone, "no_counterpart").otherwise(reason).alias("reason"))
+    none = F.lit(None).cast("string")
+
+    def row(n: int, a: str, b: str, kind: str, ord_: Column, check: Column, field: str, lv: Column, rv: Column, lu: Column, ru: Column, status: Column, reason: Column) -> Column:
+        named = F.lit(field) if field else none
+        fields = (check.alias("check"), ord_.alias("ord"), F.lit(kind).alias("type"), F.lit("").alias("event"), F.lit(a).alias("left_doc"), named.alias("left_field"), lv.alias("left_value"), F.lit(b).alias("right_doc"), named.alias("right_field"),
+                  rv.alias("right_value"), lu.alias("left_unit"), ru.alias("right_unit"), status.alias("status"), reason.alias("reason"))
+        return F.struct(*fields)
+
+    def of_pair(n: int, a: str, b: str) -> list[Column]:
+        some = F.col(f"ok{n}") & ((F.col(f"n_{a}") > 0) | (F.col(f"n_{b}") > 0))
+        matched = (F.col(f"n_{a}") == 1) & (F.col(f"n_{b}") == 1)
+        at = lambda m: F.concat(F.lit("2000:"), "line", F.lit(f":{n}:{m}"))
+        named = lambda m: F.concat(F.lit(f"i{n}:"), "line", F.lit(f":{m}"))
+        out = [F.when(some & ~matched, row(n, a, b, "unmatched_item", at(0), named(0), "", none, none, none, none, F.lit("review"), F.lit("no_counterpart")))]
+        for m, field in enumerate(ITEM_MEASURES, 1):
+            lv, rv = F.col(f"{a}.{field}"), F.col(f"{b}.{field}")
+            if field == "description":
+                lv, rv = F.lower(F.trim(lv)), F.lower(F.trim(rv))
+            lu, ru = (F.col(f"{a}.unit"), F.col(f"{b}.unit")) if field == "quantity" else (none, none)
+            status, reason = status_of(lv, rv, F.lit(""), F.lit(""), F.lit(field == "quantity"), lu, ru)
+            out.append(F.when(some & matched, row(n, a, b, f"item_{field}_comparison", at(m), named(m), field, F.col(f"{a}.{field}"), F.col(f"{b}.{field}"), lu, ru, status, reason)))
+        return out
+
+    made = [c for n, (a, b) in enumerate(ITEM_PAIRS) for c in of_pair(n, a, b)]
+    compared = lines.join(pair_ok, "transaction_id").select("transaction_id", F.col("line").alias("item"), F.explode(F.array_compact(F.array(*made))).alias("r"))
+    gone = [F.when(F.col(f"gone{n}"), row(n, a, b, "item_table_unavailable", F.lit(f"1500:{n}"), F.lit(f"i{n}"), "", none, none, none, none, F.lit("cannot_evaluate"), F.lit("item_table_unavailable"))) for n, (a, b) in enumerate(ITEM_PAIRS)]
+    absent = pair_ok.select("transaction_id", none.alias("item"), F.explode(F.array_compact(F.array(*gone))).alias("r"))
+    rows = compared.unionByName(absent).select("transaction_id", "item", "r.*")
+    return rows.withColumns({"check_id": F.concat_ws(":", "transaction_id", "check"), "has_review": F.lit(False), "linked": F.lit(False)}).select(*CHECK_COLUMNS)
 
 
 def audit_points(all_checks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Input is one row a check (see ``reconcile.checks``): transaction_id, check_id, type, event,
 left_doc, left_field, left_value, right_doc, right_field, right_value, left_unit, right_unit,
-status, reason, has_review. Two status lattices coexist on purpose: ``combined`` for areas and
+status, reason, has_review and, where they are known, ord (their order in the transaction), item and linked. Two status lattices coexist on purpose: ``combined`` for areas and
 transactions, ``transaction_states`` for presentation.
 """
 
@@ -46,10 +46,13 @@ def with_scope(checks: DataFrame) -> DataFrame:
     """Add ``scope``: 'supplementary' for an absence that a transaction can do without, else 'required'.
 
     Only missing values are ever waived, never a flag and never a value under review. Whether some
-    reference of the transaction agrees is one window over the transaction.
+    reference of the transaction agrees is told by ``linked``; checks without it cost one window over the transaction.
     """
-    tx = Window.partitionBy("transaction_id")
-    linked = F.max(F.when((F.col("status") == "pass") & F.col("type").startswith("reference_"), True).otherwise(False)).over(tx)
+    if "linked" in checks.columns:
+        checks = checks.withColumnRenamed("linked", "_linked")
+    else:
+        agrees = (F.col("status") == "pass") & F.col("type").startswith("reference_")
+        checks = checks.withColumn("_linked", F.max(F.when(agrees, True).otherwise(False)).over(Window.partitionBy("transaction_id")))
     gone_l, gone_r = F.col("left_value").isNull(), F.col("right_value").isNull()
     some, both = gone_l | gone_r, gone_l & gone_r
     absent_in = lambda docs: some & (~gone_l | F.col("left_doc").isin(*docs)) & (~gone_r | F.col("right_doc").isin(*docs))
@@ -60,7 +63,7 @@ def with_scope(checks: DataFrame) -> DataFrame:
         | (F.col("type").isin(*OPTIONAL_ITEMS) & (both | absent_in(("commercial_invoice",))))
     )
     may = (F.col("status") == "cannot_evaluate") & F.col("reason").isin("required_value_missing", "value_or_unit_missing") & ~F.col("has_review")
-    return checks.withColumn("_linked", linked).withColumn("scope", F.when(may & waived, "supplementary").otherwise("required")).drop("_linked")
+    return checks.withColumn("scope", F.when(may & waived, "supplementary").otherwise("required")).drop("_linked")
 
 
 def with_rule_status(checks: DataFrame) -> DataFrame:
@@ -76,8 +79,9 @@ def combined(column: str = "rule_status") -> Column:
 
 
 def groups(ruled: DataFrame) -> DataFrame:
-    """Rule and event groups with their status, checks and distinct values in first-seen order."""
-    ordered = F.array_sort(F.collect_list(F.struct("check_id", "left_value", "right_value")))
+    """Rule and event groups with their status, checks and distinct values in the order in which the transaction's checks show them."""
+    place = "ord" if "ord" in ruled.columns else "check_id"
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(place).alias("ord"), "check_id", "left_value", "right_value")))
     values = F.array_distinct(F.array_compact(F.flatten(F.transform(F.col("rows"), lambda r: F.array(r["left_value"], r["right_value"])))))
     grouped = ruled.where(area() != "unmapped").groupBy("transaction_id", area().alias("area"), "type", "event").agg(combined().alias("status"), ordered.alias("rows"))
     return grouped.select("transaction_id", "area", F.concat_ws(":", "type", "event").alias("group_id"), "status", F.size("rows").alias("n_checks"), F.array_join(F.transform("rows", lambda r: r["check_id"]), ",").alias("check_ids"), F.array_join(values, "|").alias("values"))
@@ -97,11 +101,12 @@ def transactions(area_rows: DataFrame) -> DataFrame:
 
 def missing_required(ruled: DataFrame) -> DataFrame:
     """Missing values, once each with all checks that want them; a MISSING check without an absent value stands for itself."""
+    item = F.col("item") if "item" in ruled.columns else F.lit(None).cast("string")
     gone = ruled.where("rule_status = 'MISSING'")
-    sides = F.array_compact(F.array(*(F.when(F.col(f"{s}_doc").isNotNull() & F.col(f"{s}_value").isNull(), F.struct(F.col(f"{s}_doc").alias("document_type"), F.col(f"{s}_field").alias("field"))) for s in ("left", "right"))))
+    sides = F.array_compact(F.array(*(F.when(F.col(f"{s}_doc").isNotNull() & F.col(f"{s}_field").isNotNull() & F.col(f"{s}_value").isNull(), F.struct(F.col(f"{s}_doc").alias("document_type"), F.col(f"{s}_field").alias("field"))) for s in ("left", "right"))))
     own = F.array(F.struct(F.col("check_id").alias("document_type"), F.lit("").alias("field")))
-    rows = gone.select("transaction_id", "check_id", F.explode(F.when(F.size(sides) > 0, sides).otherwise(own)).alias("m"))
-    return rows.groupBy("transaction_id", "m.document_type", "m.field").agg(F.count("*").alias("n_checks"), F.min("check_id").alias("first_check"))
+    rows = gone.select("transaction_id", "check_id", item.alias("item"), F.explode(F.when(F.size(sides) > 0, sides).otherwise(own)).alias("m"))
+    return rows.groupBy("transaction_id", "m.document_type", "m.field", "item").agg(F.count("*").alias("n_checks"), F.min("check_id").alias("first_check"))
 
 
 def transaction_states(scoped: DataFrame, all_transactions: DataFrame) -> DataFrame:
@@ -111,18 +116,24 @@ def transaction_states(scoped: DataFrame, all_transactions: DataFrame) -> DataFr
     return all_transactions.join(open_, "transaction_id", "left").select("transaction_id", state.alias("state"))
 
 
-def findings(ruled: DataFrame) -> DataFrame:
-    """Facts for explanation: identical ones are one row that keeps all check ids; differences only of numbers in one known unit."""
+def findings(ruled: DataFrame, by_line: bool = False) -> DataFrame:
+    """Facts for explanation: identical ones are one row that keeps all check ids; differences only of numbers in one known unit.
+
+    Identical facts are of one transaction, so they meet where its checks are. Facts about lines (``by_line``) name their line, no two are alike, and nothing is grouped.
+    """
     x, y = F.col("left_value").try_cast("decimal(20,4)"), F.col("right_value").try_cast("decimal(20,4)")
     comparable = (F.col("left_unit") == F.col("right_unit")) & x.isNotNull() & y.isNotNull()
     d = F.when(comparable, (x - y).cast("decimal(20,4)"))
     kind = _lookup({"FAIL": "value_mismatch", "MISSING": "missing_evidence", "REVIEW": "unresolved_comparison", "PASS": "matched_values"}, "rule_status")
+    item = F.col("item") if "item" in ruled.columns else F.lit(None).cast("string")
     rows = ruled.where("rule_status <> 'NOT_APPLICABLE'").select(
-        "transaction_id", "check_id", area().alias("area"), "type", F.col("rule_status").alias("status"), kind.alias("finding_type"), "left_doc", "left_value", "right_doc", "right_value", d.alias("difference"),
+        "transaction_id", "check_id", area().alias("area"), "type", item.alias("item"), F.col("rule_status").alias("status"), kind.alias("finding_type"), "left_doc", "left_value", "right_doc", "right_value", d.alias("difference"),
         F.when(d > 0, "left_greater").when(d < 0, "left_less").when(d == 0, "equal").alias("direction"),
     )
-    keys = [c for c in rows.columns if c != "check_id"]
-    return rows.groupBy(*keys).agg(F.min("check_id").alias("finding_id"), F.array_join(F.array_sort(F.collect_list("check_id")), ",").alias("check_ids"))
+    if by_line:
+        return rows.withColumns({"finding_id": F.col("check_id"), "check_ids": F.col("check_id")}).drop("check_id")
+    facts = [c for c in rows.columns if c not in ("transaction_id", "check_id")]
+    return rows.groupBy("transaction_id", *facts).agg(F.min("check_id").alias("finding_id"), F.array_join(F.array_sort(F.collect_list("check_id")), ",").alias("check_ids"))
 
 
 def _order() -> list[Column]:
@@ -130,10 +141,13 @@ def _order() -> list[Column]:
 
 
 def top_findings(found: DataFrame, limit: int = 4) -> DataFrame:
-    """The first findings of each transaction: issues if there are any, worst first."""
-    issue = F.max(F.col("status") != "PASS").over(Window.partitionBy("transaction_id"))
-    rows = found.withColumn("_issue", issue).where("NOT _issue OR status <> 'PASS'")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("transaction_id").orderBy(*_order()))).where(F.col("rank") <= limit).drop("_issue")
+    """The first findings of each transaction: issues if there are any, worst first.
+
+    Issues come first in the order, so what is left of the first few after dropping matches beside an issue is the answer; each task sends on its own first few.
+    """
+    tx = Window.partitionBy("transaction_id")
+    rows = found.withColumn("rank", F.row_number().over(tx.orderBy(*_order()))).where(F.col("rank") <= limit)
+    return rows.withColumn("_issue", F.max(F.col("status") != "PASS").over(tx)).where("NOT _issue OR status <> 'PASS'").drop("_issue")
 
 
 def summary_findings(found: DataFrame, limit: int = 16) -> DataFrame:

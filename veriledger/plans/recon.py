@@ -25,15 +25,25 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, trade.ITEMS, "lineitem")
 
 
+def incoming(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, trade.INCOMING, "orders")
+
+
 def checks(spark: SparkSession, sf: str) -> DataFrame:
     return R.checks(ledger(spark, sf), documents(spark, sf))
 
 
+def document_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Comparisons of documents and presence checks."""
+    return R.checks(ledger(spark, sf), documents(spark, sf), trade.DOCUMENT_TYPES)
+
+
+def item_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return R.item_checks(items(spark, sf), documents(spark, sf))
+
+
 def all_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Comparisons and presence checks in one shape."""
-    found = R.presence_checks(ledger(spark, sf), R.links(ledger(spark, sf), documents(spark, sf)), trade.DOCUMENT_TYPES)
-    presence = found.select("transaction_id", F.concat_ws(":", "transaction_id", "document_type").alias("check_id"), "type", F.col("document_type").alias("event"), "status", "reason", F.lit(False).alias("has_review"))
-    return checks(spark, sf).unionByName(presence, allowMissingColumns=True)
+    return document_checks(spark, sf).unionByName(item_checks(spark, sf))
 
 
 def ruled(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,38 +57,61 @@ def _unpivot(fields: list[str]) -> str:
     return "unnest([" + ", ".join(f"{{'field': '{f}', 'value': CAST({f} AS VARCHAR)}}" for f in fields) + "], recursive := true)"
 
 
-_RULES = ", ".join("(" + ", ".join(str(v) if i == 0 else f"'{v}'" for i, v in enumerate(r)) + ")" for r in R.comparison_rules())
 _NUM = lambda c: f"try_cast({c} AS DECIMAL(38,9))"
 _SAME = f"CASE WHEN {_NUM('lv')} IS NOT NULL AND {_NUM('rv')} IS NOT NULL THEN {_NUM('lv')} = {_NUM('rv')} ELSE lv = rv END"
+_PAIR = lambda of: f"CASE f {' '.join(f'WHEN {m!r} THEN {of}_{m}' for m in trade.ITEM_FIELDS)} END"
 
+#: Rules and areas stand here in full, apart from the operators' own lists, so that a wrong one shows.
 SOURCES = f"""
 ledger AS ({plain(trade.LEDGER)}), docs AS ({plain(trade.DOCUMENTS)}),
 cells AS (SELECT tx, document_type, extraction_status AS st, {_unpivot(trade.DOCUMENT_FIELDS)} FROM docs
   UNION ALL SELECT tx, 'ledger', 'accepted', {_unpivot(trade.LEDGER_FIELDS)} FROM ledger),
-rules(rule_no, type, event, left_doc, left_field, right_doc, right_field, lu, ru) AS (VALUES {_RULES}),
-links AS (
-  WITH l AS (SELECT transaction_id, 'invoice_number' AS rt, invoice_number AS ref FROM ledger UNION ALL SELECT transaction_id, 'purchase_order_number', purchase_order_number FROM ledger),
-  d AS (SELECT entity_id, document_type, 'invoice_number' AS rt, invoice_number AS ref FROM docs UNION ALL SELECT entity_id, document_type, 'purchase_order_number', purchase_order_number FROM docs),
-  p AS (SELECT entity_id, document_type, transaction_id, count(*) AS n_references FROM l JOIN d USING (rt, ref) GROUP BY ALL)
-  SELECT * FROM p WHERE entity_id IN (SELECT entity_id FROM p GROUP BY entity_id HAVING count(*) = 1)
-    AND (transaction_id, document_type) IN (SELECT (transaction_id, document_type) FROM p GROUP BY transaction_id, document_type HAVING count(*) = 1)),
+kinds(o, a, b) AS (VALUES (1, 'commercial_invoice', 'packing_list'), (2, 'commercial_invoice', 'bill_of_lading'), (3, 'packing_list', 'bill_of_lading')),
+rules(rule_no, type, event, left_doc, left_field, right_doc, right_field, lu, ru) AS (
+  VALUES (1, 'ledger_invoice_amount_comparison', '', 'ledger', 'amount', 'commercial_invoice', 'total_amount', 'currency', 'currency'), (2, 'ledger_invoice_currency_comparison', '', 'ledger', 'currency', 'commercial_invoice', 'currency', '', ''),
+    (3, 'ledger_invoice_counterparty_comparison', 'buyer', 'ledger', 'counterparty', 'commercial_invoice', 'buyer', '', ''), (4, 'ledger_invoice_counterparty_comparison', 'seller', 'ledger', 'counterparty', 'commercial_invoice', 'seller', '', ''),
+    (5, 'invoice_transaction_date_review', '', 'ledger', 'transaction_date', 'commercial_invoice', 'issue_date', '', ''), (6, 'invoice_posting_date_review', '', 'ledger', 'posting_date', 'commercial_invoice', 'issue_date', '', ''),
+    (7, 'document_gross_weight_comparison', '', 'packing_list', 'gross_weight', 'bill_of_lading', 'gross_weight', 'gross_weight_unit', 'gross_weight_unit'), (8, 'document_net_weight_comparison', '', 'packing_list', 'net_weight', 'bill_of_lading', 'net_weight', 'net_weight_unit', 'net_weight_unit'),
+    (9, 'document_package_count_comparison', '', 'packing_list', 'total_packages', 'bill_of_lading', 'total_packages', '', '')
+  UNION ALL SELECT 6 + 3 * e.o + k.o, 'cross_document_date_review', e.f, a, e.f, b, e.f, '', '' FROM (VALUES (1, 'shipment_date'), (2, 'on_board_date'), (3, 'departure_date')) AS e(o, f), kinds k
+  UNION ALL SELECT 15 + 3 * e.o + k.o, 'reference_' || e.f, '', a, e.f, b, e.f, '', '' FROM (VALUES (1, 'invoice_number'), (2, 'bill_of_lading_number'), (3, 'purchase_order_number'), (4, 'packing_list_number'), (5, 'buyer_reference'), (6, 'document_reference'), (7, 'booking_number')) AS e(o, f), kinds k),
 pairs AS (SELECT r.*, 'T' || l.tx AS transaction_id, 'T' || l.tx || ':' || rule_no AS check_id, l.value AS lv, rr.value AS rv, lu_.value AS luv, ru_.value AS ruv, l.st = 'review' OR rr.st = 'review' AS has_review
   FROM rules r JOIN cells l ON l.document_type = left_doc AND l.field = left_field JOIN cells rr ON rr.tx = l.tx AND rr.document_type = right_doc AND rr.field = right_field
   LEFT JOIN cells lu_ ON lu_.tx = l.tx AND lu_.document_type = left_doc AND lu_.field = r.lu LEFT JOIN cells ru_ ON ru_.tx = l.tx AND ru_.document_type = right_doc AND ru_.field = r.ru
   JOIN ledger g ON g.tx = l.tx WHERE r.event NOT IN ('buyer', 'seller') OR g.counterparty_role = r.event),
-checks AS (SELECT transaction_id, check_id, type, CASE WHEN event IN ('buyer', 'seller') THEN '' ELSE event END AS event, left_doc, left_field, lv AS left_value, right_doc, right_field, rv AS right_value, luv AS left_unit, ruv AS right_unit,
+checks AS (SELECT transaction_id, check_id, lpad(CAST(rule_no AS VARCHAR), 4, '0') AS ord, type, CASE WHEN event IN ('buyer', 'seller') THEN '' ELSE event END AS event, left_doc, left_field, lv AS left_value, right_doc, right_field, rv AS right_value, luv AS left_unit, ruv AS right_unit,
   CASE WHEN has_review THEN 'review' WHEN lv IS NULL OR rv IS NULL OR (lu <> '' AND NOT coalesce(luv = ruv, FALSE)) THEN 'cannot_evaluate' WHEN {_SAME} THEN 'pass' ELSE 'flag' END AS status,
   CASE WHEN has_review THEN 'uncertain_extraction' WHEN lv IS NULL OR rv IS NULL THEN 'required_value_missing' WHEN lu <> '' AND NOT coalesce(luv = ruv, FALSE) THEN 'value_or_unit_missing' WHEN {_SAME} THEN NULL ELSE 'different_values' END AS reason, has_review FROM pairs),
-presence AS (SELECT transaction_id, k.dt AS document_type, 'document_presence' AS type, CASE WHEN x.entity_id IS NULL THEN 'cannot_evaluate' ELSE 'pass' END AS status, CASE WHEN x.entity_id IS NULL THEN 'required_document_not_linked' END AS reason
-  FROM ledger CROSS JOIN (VALUES ('commercial_invoice'), ('packing_list'), ('bill_of_lading')) AS k(dt) LEFT JOIN links x USING (transaction_id) WHERE FALSE
-  UNION ALL SELECT g.transaction_id, k.dt, 'document_presence', CASE WHEN x.entity_id IS NULL THEN 'cannot_evaluate' ELSE 'pass' END, CASE WHEN x.entity_id IS NULL THEN 'required_document_not_linked' END
-  FROM ledger g CROSS JOIN (VALUES ('commercial_invoice'), ('packing_list'), ('bill_of_lading')) AS k(dt) LEFT JOIN links x ON x.transaction_id = g.transaction_id AND x.document_type = k.dt),
-all_checks AS (SELECT * FROM checks UNION ALL BY NAME SELECT transaction_id, transaction_id || ':' || document_type AS check_id, type, document_type AS event, status, reason, FALSE AS has_review FROM presence),
-areas_of(type, area) AS (VALUES {', '.join(f"('{t}', '{a}')" for t, a in V.AREA_OF.items())}),
+presence AS (SELECT g.transaction_id, k.dt AS document_type, 'document_presence' AS type, CASE WHEN x.entity_id IS NULL THEN 'cannot_evaluate' ELSE 'pass' END AS status, CASE WHEN x.entity_id IS NULL THEN 'required_document_not_linked' END AS reason
+  FROM ledger g CROSS JOIN (VALUES ('commercial_invoice'), ('packing_list'), ('bill_of_lading')) AS k(dt) LEFT JOIN docs x ON x.transaction_id = g.transaction_id AND x.document_type = k.dt),
+items AS ({plain(trade.ITEMS)}),
+told AS (SELECT *, lower(trim(description)) AS told FROM items),
+keyed AS (SELECT *, coalesce(product_code, CASE WHEN min(product_code) OVER w = max(product_code) OVER w THEN min(product_code) OVER w END, 'd:' || told, 'd:') AS line FROM told WINDOW w AS (PARTITION BY transaction_id, told)),
+line_sides AS (SELECT transaction_id, line, document_type, count(*) AS n, {', '.join(f'min({m}) AS {m}' for m in trade.ITEM_FIELDS)} FROM keyed GROUP BY ALL),
+item_pairs AS (SELECT k.n, a, b, x.transaction_id, (x.transaction_id, a) IN (SELECT (transaction_id, document_type) FROM items) AND (x.transaction_id, b) IN (SELECT (transaction_id, document_type) FROM items) AS ok
+  FROM (VALUES (0, 'commercial_invoice', 'packing_list'), (1, 'packing_list', 'bill_of_lading')) AS k(n, a, b) JOIN docs x ON x.document_type = a JOIN docs y ON y.document_type = b AND y.transaction_id = x.transaction_id),
+met AS (SELECT p.transaction_id, p.n, a, b, c.line, coalesce(l.n = 1 AND r.n = 1, FALSE) AS matched, {', '.join(f'l.{m} AS l_{m}, r.{m} AS r_{m}' for m in trade.ITEM_FIELDS)}
+  FROM item_pairs p JOIN (SELECT DISTINCT transaction_id, line FROM line_sides) c USING (transaction_id) LEFT JOIN line_sides l ON l.transaction_id = p.transaction_id AND l.line = c.line AND l.document_type = a
+  LEFT JOIN line_sides r ON r.transaction_id = p.transaction_id AND r.line = c.line AND r.document_type = b WHERE ok AND (l.n IS NOT NULL OR r.n IS NOT NULL)),
+measured AS (SELECT met.*, m, f, {_PAIR('l')} AS left_value, {_PAIR('r')} AS right_value, CASE WHEN f = 'description' THEN lower(trim(l_description)) ELSE {_PAIR('l')} END AS lv, CASE WHEN f = 'description' THEN lower(trim(r_description)) ELSE {_PAIR('r')} END AS rv,
+    f = 'quantity' AND NOT coalesce(l_unit = r_unit, FALSE) AS no_unit
+  FROM met, (VALUES (1, 'product_code'), (2, 'description'), (3, 'unit'), (4, 'quantity'), (5, 'package_count'), (6, 'gross_weight'), (7, 'net_weight')) AS v(m, f) WHERE matched),
+item_checks AS (
+  SELECT transaction_id, transaction_id || ':i' || n || ':' || line || ':' || m AS check_id, '2000:' || line || ':' || n || ':' || m AS ord, 'item_' || f || '_comparison' AS type, '' AS event, line AS item, a AS left_doc, f AS left_field, left_value, b AS right_doc, f AS right_field, right_value,
+    CASE WHEN f = 'quantity' THEN l_unit END AS left_unit, CASE WHEN f = 'quantity' THEN r_unit END AS right_unit, CASE WHEN lv IS NULL OR rv IS NULL OR no_unit THEN 'cannot_evaluate' WHEN {_SAME} THEN 'pass' ELSE 'flag' END AS status,
+    CASE WHEN lv IS NULL OR rv IS NULL THEN 'required_value_missing' WHEN no_unit THEN 'value_or_unit_missing' WHEN {_SAME} THEN NULL ELSE 'different_values' END AS reason, FALSE AS has_review FROM measured
+  UNION ALL BY NAME SELECT transaction_id, transaction_id || ':i' || n || ':' || line || ':0' AS check_id, '2000:' || line || ':' || n || ':0' AS ord, 'unmatched_item' AS type, '' AS event, line AS item, a AS left_doc, b AS right_doc, 'review' AS status, 'no_counterpart' AS reason, FALSE AS has_review FROM met WHERE NOT matched
+  UNION ALL BY NAME SELECT transaction_id, transaction_id || ':i' || n AS check_id, '1500:' || n AS ord, 'item_table_unavailable' AS type, '' AS event, a AS left_doc, b AS right_doc, 'cannot_evaluate' AS status, 'item_table_unavailable' AS reason, FALSE AS has_review FROM item_pairs WHERE NOT ok),
+all_checks AS (SELECT * FROM checks UNION ALL BY NAME SELECT transaction_id, transaction_id || ':' || document_type AS check_id, '1000:' || document_type AS ord, type, document_type AS event, status, reason, FALSE AS has_review FROM presence UNION ALL BY NAME SELECT * FROM item_checks),
+areas_of(type, area) AS (VALUES ('document_presence', 'documents'), ('ledger_invoice_amount_comparison', 'amount'), ('ledger_invoice_currency_comparison', 'amount'), ('ledger_invoice_counterparty_comparison', 'counterparty'), ('invoice_transaction_date_review', 'date'), ('invoice_posting_date_review', 'date'),
+  ('cross_document_date_review', 'shipping'), ('document_gross_weight_comparison', 'logistics'), ('document_net_weight_comparison', 'logistics'), ('document_package_count_comparison', 'logistics'), ('item_table_unavailable', 'items'), ('unmatched_item', 'items'),
+  ('reference_invoice_number', 'references'), ('reference_bill_of_lading_number', 'references'), ('reference_purchase_order_number', 'references'), ('reference_packing_list_number', 'references'), ('reference_buyer_reference', 'references'), ('reference_document_reference', 'references'), ('reference_booking_number', 'references'),
+  ('item_product_code_comparison', 'items'), ('item_description_comparison', 'items'), ('item_unit_comparison', 'items'), ('item_quantity_comparison', 'items'), ('item_package_count_comparison', 'items'), ('item_gross_weight_comparison', 'items'), ('item_net_weight_comparison', 'items')),
 scoped AS (SELECT c.*, coalesce(area, 'unmapped') AS area, CASE WHEN status = 'cannot_evaluate' AND reason IN ('required_value_missing', 'value_or_unit_missing') AND NOT has_review AND (
     (bool_or(status = 'pass' AND starts_with(type, 'reference_')) OVER (PARTITION BY transaction_id) AND type IN ('reference_packing_list_number', 'reference_buyer_reference', 'reference_document_reference', 'reference_booking_number'))
     OR (type = 'cross_document_date_review' AND left_value IS NULL AND right_value IS NULL)
     OR (type = 'cross_document_date_review' AND event = 'on_board_date' AND (left_value IS NULL OR right_value IS NULL) AND (left_value IS NOT NULL OR left_doc <> 'bill_of_lading') AND (right_value IS NOT NULL OR right_doc <> 'bill_of_lading'))
+    OR (type IN ('item_gross_weight_comparison', 'item_net_weight_comparison', 'item_package_count_comparison') AND (left_value IS NULL OR left_doc = 'commercial_invoice' AND left_value IS NULL) AND (right_value IS NULL OR left_doc = 'commercial_invoice'))
   ) THEN 'supplementary' ELSE 'required' END AS scope FROM all_checks c LEFT JOIN areas_of USING (type)),
 ruled AS (SELECT *, CASE WHEN reason = 'required_document_not_linked' THEN 'MISSING' WHEN scope = 'supplementary' THEN 'NOT_APPLICABLE' WHEN area = 'unmapped' THEN 'REVIEW'
   ELSE CASE status WHEN 'pass' THEN 'PASS' WHEN 'flag' THEN 'FAIL' WHEN 'cannot_evaluate' THEN 'MISSING' ELSE 'REVIEW' END END AS rule_status FROM scoped),
@@ -109,22 +142,31 @@ def recon_amount(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("outcome").agg(F.count("*").alias("n_transactions"), F.coalesce(F.sum("d"), F.lit(0)).cast("double").alias("total_difference"))
 
 
-@query(f"{WITH} SELECT transaction_id, document_type, entity_id, n_references FROM links")
+_LINKS = f"""WITH ledger AS ({plain(trade.LEDGER)}), incoming AS ({plain(trade.INCOMING)}),
+l AS (SELECT transaction_id, 'invoice_number' AS rt, invoice_number AS ref FROM ledger UNION ALL SELECT transaction_id, 'purchase_order_number', purchase_order_number FROM ledger),
+d AS (SELECT entity_id, document_type, 'invoice_number' AS rt, invoice_number AS ref FROM incoming UNION ALL SELECT entity_id, document_type, 'purchase_order_number', purchase_order_number FROM incoming),
+p AS (SELECT entity_id, document_type, transaction_id, count(*) AS n_references FROM l JOIN d USING (rt, ref) GROUP BY ALL),
+links AS (SELECT * FROM p WHERE entity_id IN (SELECT entity_id FROM p GROUP BY entity_id HAVING count(*) = 1)
+  AND (transaction_id, document_type) IN (SELECT (transaction_id, document_type) FROM p GROUP BY transaction_id, document_type HAVING count(*) = 1))"""
+
+
+@query(f"{_LINKS} SELECT transaction_id, document_type, entity_id, n_references FROM links")
 def recon_links(spark: SparkSession, sf: str) -> DataFrame:
-    """RC-02."""
-    return R.links(ledger(spark, sf), documents(spark, sf)).select("transaction_id", "document_type", "entity_id", "n_references")
+    """RC-02: incoming documents by their references."""
+    return R.links(ledger(spark, sf), incoming(spark, sf))
 
 
-@query(f"{WITH} SELECT document_type, count(*) AS n FROM docs WHERE entity_id NOT IN (SELECT entity_id FROM links) GROUP BY 1")
+@query(f"{_LINKS} SELECT document_type, count(*) AS n FROM incoming WHERE entity_id NOT IN (SELECT entity_id FROM links) GROUP BY 1")
 def recon_unmatched_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf)
+    """RC-02: documents that name no transaction, or two, or one that has another document of their type."""
+    docs = incoming(spark, sf)
     return R.unmatched_documents(docs, R.links(ledger(spark, sf), docs)).groupBy("document_type").agg(F.count("*").alias("n"))
 
 
 @query(f"{WITH} SELECT transaction_id, document_type, type, status, reason FROM presence")
 def recon_presence(spark: SparkSession, sf: str) -> DataFrame:
     """RC-04."""
-    return R.presence_checks(ledger(spark, sf), R.links(ledger(spark, sf), documents(spark, sf)), trade.DOCUMENT_TYPES)
+    return R.presence_checks(document_checks(spark, sf))
 
 
 @query(f"{WITH} SELECT transaction_id, check_id, type, event, left_value, right_value, status, reason FROM checks")
@@ -138,31 +180,16 @@ def recon_check_counts(spark: SparkSession, sf: str) -> DataFrame:
     return checks(spark, sf).groupBy("type", "status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_ITEM_SAME = _SAME
-_ITEMS = f"""
-WITH items AS ({plain(trade.ITEMS)}),
-l AS (SELECT * FROM items WHERE document_type = 'commercial_invoice'), r AS (SELECT * FROM items WHERE document_type = 'packing_list'),
-j AS (SELECT coalesce(l.tx, r.tx) AS tx, coalesce(l.product_code, r.product_code) AS product_code, l.tx IS NULL OR r.tx IS NULL AS alone, l.unit AS lu, r.unit AS ru,
-  l.unit AS l_unit, r.unit AS r_unit, l.quantity AS l_quantity, r.quantity AS r_quantity, l.package_count AS l_package_count, r.package_count AS r_package_count, l.gross_weight AS l_gross_weight, r.gross_weight AS r_gross_weight, l.net_weight AS l_net_weight, r.net_weight AS r_net_weight
-  FROM l FULL OUTER JOIN r ON l.tx = r.tx AND l.product_code = r.product_code),
-rows_ AS ({' UNION ALL '.join(f"SELECT tx, product_code, 'item_{m}_comparison' AS type, l_{m} AS lv, r_{m} AS rv, lu, ru, {'TRUE' if m == 'quantity' else 'FALSE'} AS has_unit, FALSE AS alone FROM j WHERE NOT alone" for m in R.ITEM_MEASURES)}
-  UNION ALL SELECT tx, product_code, 'unmatched_item', NULL, NULL, lu, ru, FALSE, TRUE FROM j WHERE alone),
-item_checks AS (SELECT tx, product_code, type, lv AS left_value, rv AS right_value,
-  CASE WHEN alone THEN 'review' WHEN lv IS NULL OR rv IS NULL OR (has_unit AND NOT coalesce(lu = ru, FALSE)) THEN 'cannot_evaluate' WHEN {_ITEM_SAME} THEN 'pass' ELSE 'flag' END AS status,
-  CASE WHEN alone THEN 'no_counterpart' WHEN lv IS NULL OR rv IS NULL THEN 'required_value_missing' WHEN has_unit AND NOT coalesce(lu = ru, FALSE) THEN 'value_or_unit_missing' WHEN {_ITEM_SAME} THEN NULL ELSE 'different_values' END AS reason FROM rows_)
-"""
-
-
-@query(f"{_ITEMS} SELECT * FROM item_checks")
+@query(f"{WITH} SELECT transaction_id, check_id, type, item, left_doc, left_value, right_doc, right_value, status, reason FROM item_checks")
 def recon_item_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """RC-12 and RC-13: lines matched by product code, leftovers on either side."""
-    return R.item_checks(items(spark, sf))
+    """RC-12 and RC-13: lines matched by product code or description, seven measures, leftovers on either side, documents without lines."""
+    return item_checks(spark, sf).select("transaction_id", "check_id", "type", "item", "left_doc", "left_value", "right_doc", "right_value", "status", "reason")
 
 
-@query(f"{WITH} SELECT regexp_replace(type, '_(comparison|review)$', '') || CASE status WHEN 'flag' THEN '_mismatch' WHEN 'review' THEN '_uncertain' ELSE '_incomplete' END AS audit_point, count(*) AS n FROM checks WHERE status <> 'pass' GROUP BY 1")
+@query(f"{WITH} SELECT regexp_replace(type, '_(comparison|review)$', '') || CASE status WHEN 'flag' THEN '_mismatch' WHEN 'review' THEN '_uncertain' ELSE '_incomplete' END AS audit_point, count(*) AS n FROM all_checks WHERE status <> 'pass' GROUP BY 1")
 def recon_audit_points(spark: SparkSession, sf: str) -> DataFrame:
     """RC-15."""
-    return R.audit_points(checks(spark, sf)).groupBy("audit_point").agg(F.count("*").alias("n"))
+    return R.audit_points(all_checks(spark, sf)).groupBy("audit_point").agg(F.count("*").alias("n"))
 
 
 @query(f"""{WITH}, d AS (SELECT transaction_id, left_unit AS unit, CAST(left_value AS DECIMAL(20,2)) - CAST(right_value AS DECIMAL(20,2)) AS x FROM checks WHERE type = 'ledger_invoice_amount_comparison' AND left_unit = right_unit AND left_value IS NOT NULL AND right_value IS NOT NULL)
@@ -188,7 +215,7 @@ def review_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return V.with_scope(all_checks(spark, sf)).groupBy("transaction_id").agg(F.count(F.when(extra, 1)).alias("n_supplementary"), F.count(F.when(~extra & (F.col("status") == "cannot_evaluate"), 1)).alias("n_required_missing"))
 
 
-@query(f"""{WITH}, g AS (SELECT transaction_id, area, type, event, max(rk) AS rk, list({{'c': check_id, 'l': left_value, 'r': right_value}} ORDER BY check_id) AS rows_ FROM ruled JOIN ranks USING (rule_status) WHERE area <> 'unmapped' GROUP BY ALL)
+@query(f"""{WITH}, g AS (SELECT transaction_id, area, type, event, max(rk) AS rk, list({{'c': check_id, 'l': left_value, 'r': right_value}} ORDER BY ord, check_id) AS rows_ FROM ruled JOIN ranks USING (rule_status) WHERE area <> 'unmapped' GROUP BY ALL)
 SELECT transaction_id, area, type || ':' || event AS group_id, ['NOT_APPLICABLE', 'PASS', 'REVIEW', 'MISSING', 'FAIL'][rk + 1] AS status, CAST(len(rows_) AS INTEGER) AS n_checks, array_to_string([x.c for x in rows_], ',') AS check_ids,
   array_to_string(list_filter([v for v in flatten([[x.l, x.r] for x in rows_])], lambda v, i: v IS NOT NULL AND list_position(flatten([[x.l, x.r] for x in rows_]), v) = i), '|') AS "values" FROM g""")
 def review_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,10 +242,10 @@ def review_counts(spark: SparkSession, sf: str) -> DataFrame:
     return V.areas(ruled(spark, sf)).groupBy("status").agg(F.count("*").alias("n_areas"))
 
 
-@query(f"""{WITH}, m AS (SELECT transaction_id, check_id, left_doc AS document_type, left_field AS field FROM ruled WHERE rule_status = 'MISSING' AND left_doc IS NOT NULL AND left_value IS NULL
-  UNION ALL SELECT transaction_id, check_id, right_doc, right_field FROM ruled WHERE rule_status = 'MISSING' AND right_doc IS NOT NULL AND right_value IS NULL
-  UNION ALL SELECT transaction_id, check_id, check_id, '' FROM ruled WHERE rule_status = 'MISSING' AND NOT (left_doc IS NOT NULL AND left_value IS NULL) AND NOT (right_doc IS NOT NULL AND right_value IS NULL))
-SELECT transaction_id, document_type, field, count(*) AS n_checks, min(check_id) AS first_check FROM m GROUP BY ALL""")
+@query(f"""{WITH}, m AS (SELECT transaction_id, check_id, item, left_doc AS document_type, left_field AS field FROM ruled WHERE rule_status = 'MISSING' AND left_field IS NOT NULL AND left_value IS NULL
+  UNION ALL SELECT transaction_id, check_id, item, right_doc, right_field FROM ruled WHERE rule_status = 'MISSING' AND right_field IS NOT NULL AND right_value IS NULL
+  UNION ALL SELECT transaction_id, check_id, item, check_id, '' FROM ruled WHERE rule_status = 'MISSING' AND NOT (left_field IS NOT NULL AND left_value IS NULL) AND NOT (right_field IS NOT NULL AND right_value IS NULL))
+SELECT transaction_id, document_type, field, item, count(*) AS n_checks, min(check_id) AS first_check FROM m GROUP BY ALL""")
 def review_missing_required(spark: SparkSession, sf: str) -> DataFrame:
     """RV-12."""
     return V.missing_required(ruled(spark, sf))
@@ -240,14 +267,15 @@ def review_state_summary(spark: SparkSession, sf: str) -> DataFrame:
     return review_transaction_state(spark, sf).agg(*(F.count(F.when(F.col("state") == s, 1)).alias(s) for s in ("pass", "review", "cannot_evaluate")))
 
 
-_FINDINGS = f"""{WITH}, f0 AS (SELECT transaction_id, check_id, area, type, rule_status AS status, CASE rule_status WHEN 'FAIL' THEN 'value_mismatch' WHEN 'MISSING' THEN 'missing_evidence' WHEN 'REVIEW' THEN 'unresolved_comparison' ELSE 'matched_values' END AS finding_type,
+_FINDINGS = f"""{WITH}, f0 AS (SELECT transaction_id, check_id, area, type, item, rule_status AS status, CASE rule_status WHEN 'FAIL' THEN 'value_mismatch' WHEN 'MISSING' THEN 'missing_evidence' WHEN 'REVIEW' THEN 'unresolved_comparison' ELSE 'matched_values' END AS finding_type,
   left_doc, left_value, right_doc, right_value, CASE WHEN left_unit = right_unit THEN try_cast(left_value AS DECIMAL(20,4)) - try_cast(right_value AS DECIMAL(20,4)) END AS d FROM ruled WHERE rule_status <> 'NOT_APPLICABLE'),
-found AS (SELECT transaction_id, area, type, status, finding_type, left_doc, left_value, right_doc, right_value, CAST(d AS DOUBLE) AS difference, CASE WHEN d > 0 THEN 'left_greater' WHEN d < 0 THEN 'left_less' WHEN d = 0 THEN 'equal' END AS direction,
+found AS (SELECT transaction_id, area, type, item, status, finding_type, left_doc, left_value, right_doc, right_value, CAST(d AS DOUBLE) AS difference, CASE WHEN d > 0 THEN 'left_greater' WHEN d < 0 THEN 'left_less' WHEN d = 0 THEN 'equal' END AS direction,
   min(check_id) AS finding_id, string_agg(check_id, ',' ORDER BY check_id) AS check_ids FROM f0 GROUP BY ALL)"""
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return V.findings(ruled(spark, sf)).withColumn("difference", F.col("difference").cast("double"))
+    of_documents, of_items = (V.with_rule_status(c(spark, sf)) for c in (document_checks, item_checks))
+    return V.findings(of_documents).unionByName(V.findings(of_items, by_line=True)).withColumn("difference", F.col("difference").cast("double"))
 
 
 @query(f"{_FINDINGS} SELECT * FROM found")
@@ -274,8 +302,8 @@ def review_summary_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TOPIC = """CASE WHEN type LIKE '%currency%' THEN 'currency' WHEN type LIKE '%date%' OR left_field LIKE '%\\_date' ESCAPE '\\' OR right_field LIKE '%\\_date' ESCAPE '\\' THEN 'date'
- WHEN left_field IN ('amount', 'total_amount') OR right_field IN ('amount', 'total_amount') THEN 'amount' WHEN left_field IN ('quantity', 'gross_weight', 'net_weight', 'total_packages') THEN 'quantity'
- WHEN left_field LIKE '%number%' OR left_field LIKE '%reference%' THEN 'identity' ELSE 'other' END"""
+ WHEN list_has_any([left_field, right_field], ['amount', 'total_amount', 'subtotal', 'tax', 'unit_price']) THEN 'amount' WHEN list_has_any([left_field, right_field], ['quantity', 'gross_weight', 'net_weight', 'total_packages', 'package_count', 'volume']) THEN 'quantity'
+ WHEN left_field LIKE '%number%' OR left_field LIKE '%reference%' OR right_field LIKE '%number%' OR right_field LIKE '%reference%' THEN 'identity' ELSE 'other' END"""
 
 
 @query(f"{WITH} SELECT type, {_TOPIC} AS topic, count(*) AS n FROM checks GROUP BY ALL")

@@ -22,7 +22,7 @@ FROM {orders}
 
 #: One row a document. k is the order key.
 DOCUMENTS = """
-SELECT k AS tx, dt AS document_type, dt || '-' || CAST(k AS STRING) AS entity_id,
+SELECT k AS tx, 'T' || CAST(k AS STRING) AS transaction_id, dt AS document_type, dt || '-' || CAST(k AS STRING) AS entity_id,
   CASE WHEN k % 43 = 0 AND dt = 'packing_list' THEN NULL ELSE 'INV-' || CAST(k AS STRING) END AS invoice_number,
   CASE WHEN k % 37 = 0 AND dt = 'bill_of_lading' THEN 'PO-X' ELSE 'PO-' || CAST(k AS STRING) END AS purchase_order_number,
   CASE WHEN dt = 'commercial_invoice' AND k % 3 = 0 THEN NULL ELSE 'BL-' || CAST(k AS STRING) END AS bill_of_lading_number,
@@ -56,16 +56,28 @@ DOCUMENT_FIELDS = (
 ).split()
 LEDGER_FIELDS = "invoice_number purchase_order_number transaction_date posting_date amount currency counterparty counterparty_role".split()
 
-#: One row a document and line. The line table's key is not unique; rows of a repeated key are one line with the sums.
+#: Documents as they come in, before they are linked: those above, papers that name no known transaction, and papers that name two.
+INCOMING = """
+SELECT entity_id, document_type, invoice_number, purchase_order_number FROM ({documents}) AS d
+UNION ALL SELECT 'stray-' || CAST(o_orderkey AS STRING), 'packing_list', CASE WHEN o_orderkey % 100 = 0 THEN NULL ELSE 'INV-X' || CAST(o_orderkey AS STRING) END, NULL FROM {orders} WHERE o_orderkey % 50 = 0
+UNION ALL SELECT 'torn-' || CAST(o_orderkey AS STRING), 'arrival_notice', 'INV-' || CAST(o_orderkey AS STRING), 'PO-' || CAST(o_orderkey + 1 AS STRING) FROM {orders} WHERE o_orderkey % 64 = 1
+UNION ALL SELECT 'notice-' || CAST(o_orderkey AS STRING) || '-' || CAST(n AS STRING), 'delivery_note', 'INV-' || CAST(o_orderkey AS STRING), NULL FROM {orders} CROSS JOIN (VALUES (1), (2)) AS t(n) WHERE o_orderkey % 60 = 0 AND (n = 1 OR o_orderkey % 120 = 0)
+""".replace("{documents}", DOCUMENTS)
+
+#: One row a document and line. The line table's key is not unique; rows of a repeated key are one line with the sums, but for some
+#: that a packing list shows twice. Some lines have no product code, some lists have no table of items.
 ITEMS = """
-SELECT tx, dt AS document_type, dt || '-' || CAST(tx AS STRING) AS entity_id, product_code,
+SELECT tx, 'T' || CAST(tx AS STRING) AS transaction_id, dt AS document_type, dt || '-' || CAST(tx AS STRING) AS entity_id,
+  CASE WHEN (tx + part) % 37 = 0 AND dt = 'bill_of_lading' THEN NULL WHEN (tx + part) % 97 = 0 THEN NULL ELSE product_code END AS product_code,
+  CASE WHEN (tx + part) % 43 = 0 AND dt = 'packing_list' THEN 'Goods' WHEN (tx + part) % 3 = 0 AND dt = 'packing_list' THEN upper(name) ELSE name END AS description,
   CASE WHEN (tx + part) % 13 = 0 AND dt = 'packing_list' THEN CAST(q + 1 AS STRING) WHEN (tx + part) % 17 = 0 AND dt = 'bill_of_lading' THEN NULL ELSE CAST(q AS STRING) END AS quantity,
   CASE WHEN (tx + part) % 19 = 0 AND dt = 'bill_of_lading' THEN 'ctn' WHEN (tx + part) % 23 = 0 THEN NULL ELSE 'pcs' END AS unit,
   CASE WHEN dt = 'commercial_invoice' THEN NULL ELSE CAST(q * 2 AS STRING) END AS gross_weight,
   CASE WHEN dt = 'commercial_invoice' THEN NULL WHEN (tx + part) % 29 = 0 AND dt = 'packing_list' THEN CAST(q * 3 AS STRING) ELSE CAST(q AS STRING) END AS net_weight,
-  CASE WHEN dt = 'commercial_invoice' THEN NULL ELSE '1' END AS package_count
-FROM (SELECT l_orderkey AS tx, l_partkey AS part, 'P' || CAST(l_partkey AS STRING) AS product_code, CAST(sum(l_quantity) AS BIGINT) AS q
-  FROM {lineitem} GROUP BY l_orderkey, l_partkey) AS l CROSS JOIN (VALUES ('commercial_invoice'), ('packing_list'), ('bill_of_lading')) AS kinds(dt)
-WHERE NOT (dt = 'packing_list' AND (tx + part) % 31 = 0)
+  CASE WHEN dt = 'commercial_invoice' THEN NULL WHEN (tx + part) % 47 = 0 AND dt = 'bill_of_lading' THEN '2' ELSE '1' END AS package_count
+FROM (SELECT l_orderkey AS tx, l_partkey AS part, 'P' || CAST(l_partkey AS STRING) AS product_code, 'Part ' || CAST(l_partkey AS STRING) AS name, CAST(sum(l_quantity) AS BIGINT) AS q
+  FROM {lineitem} GROUP BY l_orderkey, l_partkey) AS l
+  CROSS JOIN (VALUES ('commercial_invoice', 1), ('packing_list', 1), ('packing_list', 2), ('bill_of_lading', 1)) AS kinds(dt, n)
+WHERE NOT (dt = 'packing_list' AND (tx + part) % 31 = 0) AND NOT (dt = 'bill_of_lading' AND tx % 33 = 0) AND (n = 1 OR (tx + part) % 101 = 0)
 """
-ITEM_FIELDS = "quantity unit gross_weight net_weight package_count".split()
+ITEM_FIELDS = "product_code description unit quantity package_count gross_weight net_weight".split()
