@@ -10,8 +10,6 @@ grouped by transaction and line, so a transaction of very many lines is spread o
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,20 +66,25 @@ def unmatched_documents(documents: DataFrame, linked: DataFrame) -> DataFrame:
     return documents.join(linked.select("entity_id"), "entity_id", "left_anti")
 
 
+#: What may be read as a number; only such text is cast, as a failing cast costs more than all the rest.
+NUMERIC = r"^\s*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
+
+
 def is_same(left: Column, right: Column) -> Column:
     """Numbers compare as numbers, everything else as text."""
-    x, y = left.try_cast("decimal(38,9)"), right.try_cast("decimal(38,9)")
-    return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(left == right)
+    numbers = left.rlike(NUMERIC) & right.rlike(NUMERIC)
+    return F.when(left == right, True).when(left.isNull() | right.isNull(), None).when(numbers, F.coalesce(left.try_cast("decimal(38,9)") == right.try_cast("decimal(38,9)"), F.lit(False))).otherwise(False)
+
+
+def reason_of(left: Column, right: Column, unsure: Column, has_unit: Column, left_unit: Column, right_unit: Column) -> Column:
+    """Why a comparison does not pass, null where it does: uncertain extraction, then a missing value or unit, then different values (inferred order)."""
+    no_unit = has_unit & ~F.coalesce(left_unit == right_unit, F.lit(False))
+    return F.when(unsure, "uncertain_extraction").when(left.isNull() | right.isNull(), "required_value_missing").when(no_unit, "value_or_unit_missing").when(~is_same(left, right), "different_values")
 
 
-def status_of(left: Column, right: Column, left_status: Column, right_status: Column, has_unit: Column, left_unit: Column, right_unit: Column) -> tuple[Column, Column]:
-    """Status and reason: uncertain extraction is for review, a missing value or unit cannot be evaluated, then equal or different (inferred order)."""
-    unsure = (F.coalesce(left_status, F.lit("")) == "review") | (F.coalesce(right_status, F.lit("")) == "review")
-    missing, no_unit = left.isNull() | right.isNull(), has_unit & ~F.coalesce(left_unit == right_unit, F.lit(False))
-    same = is_same(left, right)
-    status = F.when(unsure, "review").when(missing | no_unit, "cannot_evaluate").when(same, "pass").otherwise("flag")
-    reason = F.when(unsure, "uncertain_extraction").when(missing, "required_value_missing").when(no_unit, "value_or_unit_missing").when(same, F.lit(None).cast("string")).otherwise("different_values")
-    return status, reason
+def status_of(reason: Column) -> Column:
+    """A check's status by its reason: uncertain extraction and lines without counterpart are for review, absences cannot be evaluated."""
+    return F.when(reason.isNull(), "pass").when(reason == "different_values", "flag").when(reason.isin("uncertain_extraction", "no_counterpart"), "review").otherwise("cannot_evaluate")
 
 
 #: Columns of a check. ``ord`` orders the checks of a transaction; ``item`` names the line of an item check; ``linked``: some reference of the transaction agrees.
@@ -105,7 +108,8 @@ def checks(ledger: DataFrame, documents: DataFrame, expected: tuple[str, ...] =
 
     Documents carry the transaction they are linked to. They are brought onto its row by one grouping (a struct a document type,
     reduced in the map tasks), the ledger is joined on the same key, and every rule is then a pair
-    of plain column references, exploded from an array of fixed size.
+    of plain column references, exploded from an array of fixed size. (The outer form of explode, as the
+    plain one makes the optimiser test the array's size beforehand and so build it twice.)
     """
     wide, names, ledger_names = _sides(ledger, documents, extraction)
     none = F.lit(None).cast("string")
@@ -114,34 +118,32 @@ def checks(ledger: DataFrame, documents: DataFrame, expected: tuple[str, ...] =
         known = field in (ledger_names if doc == "ledger" else names)
         return F.col(f"{doc}.{field}").cast("string") if field and known else none
 
-    def one(rule: tuple) -> tuple[Column, Column]:
-        """The check of a rule, and whether it is a reference that agrees."""
+    def one(rule: tuple) -> Column:
         no, kind, event, ld, lf, rd, rf, lu, ru = rule
         there = F.col(ld).isNotNull() & F.col(rd).isNotNull()
         if event in ("buyer", "seller"):
             there = there & (F.col("ledger.counterparty_role") == event)
             event = ""
-        lst, rst, lv, rv = F.col(f"{ld}.st"), F.col(f"{rd}.st"), value(ld, lf), value(rd, rf)
-        status, reason = status_of(lv, rv, lst, rst, F.lit(lu != ""), value(ld, lu), value(rd, ru))
         row = {
-            "check": F.lit(str(no)), "ord": F.lit(f"{no:04d}"), "type": F.lit(kind), "event": F.lit(event), "left_doc": F.lit(ld), "left_field": F.lit(lf), "left_value": lv, "right_doc": F.lit(rd), "right_field": F.lit(rf), "right_value": rv,
-            "left_unit": value(ld, lu), "right_unit": value(rd, ru), "status": status, "reason": reason, "has_review": (F.coalesce(lst, F.lit("")) == "review") | (F.coalesce(rst, F.lit("")) == "review"),
+            "check": F.lit(str(no)), "ord": F.lit(f"{no:04d}"), "type": F.lit(kind), "event": F.lit(event), "left_doc": F.lit(ld), "left_field": F.lit(lf), "left_value": value(ld, lf), "right_doc": F.lit(rd), "right_field": F.lit(rf), "right_value": value(rd, rf),
+            "left_unit": value(ld, lu), "right_unit": value(rd, ru), "has_unit": F.lit(lu != ""), "has_review": (F.coalesce(F.col(f"{ld}.st"), F.lit("")) == "review") | (F.coalesce(F.col(f"{rd}.st"), F.lit("")) == "review"), "there": F.lit(True),
         }
-        agrees = there & (status == "pass") if kind.startswith("reference_") else F.lit(False)
-        return F.when(there, F.struct(*(c.alias(n) for n, c in row.items()))), agrees
+        return F.when(there, F.struct(*(c.alias(n) for n, c in row.items())))
 
     def presence(dt: str) -> Column:
-        absent = F.col(dt).isNull()
         row = {
             "check": F.lit(dt), "ord": F.lit(f"1000:{dt}"), "type": F.lit("document_presence"), "event": F.lit(dt), **{c: none for c in ("left_doc", "left_field", "left_value", "right_doc", "right_field", "right_value", "left_unit", "right_unit")},
-            "status": F.when(absent, "cannot_evaluate").otherwise("pass"), "reason": F.when(absent, "required_document_not_linked"), "has_review": F.lit(False),
+            "has_unit": F.lit(False), "has_review": F.lit(False), "there": F.col(dt).isNotNull(),
         }
         return F.struct(*(c.alias(n) for n, c in row.items()))
 
-    made = [one(r) for r in comparison_rules()]
-    linked = reduce(lambda a, b: a | b, (F.coalesce(a, F.lit(False)) for _, a in made))
-    rows = wide.withColumn("linked", linked).select("transaction_id", "linked", F.explode(F.array_compact(F.array(*(c for c, _ in made), *map(presence, expected)))).alias("r"))
-    return rows.select("transaction_id", "linked", "r.*").withColumns({"check_id": F.concat_ws(":", "transaction_id", "check"), "item": none}).select(*CHECK_COLUMNS)
+    agrees = lambda r: r["type"].startswith("reference_") & ~r["has_review"] & F.coalesce(is_same(r["left_value"], r["right_value"]), F.lit(False))
+    rules = wide.select("transaction_id", F.array_compact(F.array(*map(one, comparison_rules()), *map(presence, expected))).alias("rules"))
+    rows = rules.select("transaction_id", F.exists("rules", agrees).alias("linked"), F.explode_outer("rules").alias("r")).where("r IS NOT NULL").select("transaction_id", "linked", "r.*")
+    compared = reason_of(*(F.col(c) for c in ("left_value", "right_value", "has_review", "has_unit", "left_unit", "right_unit")))
+    reason = F.when(F.col("type") == "document_presence", F.when(~F.col("there"), "required_document_not_linked")).otherwise(compared)
+    rows = rows.withColumns({"check_id": F.concat_ws(":", "transaction_id", "check"), "item": none, "reason": reason})
+    return rows.withColumn("status", status_of(F.col("reason"))).select(*CHECK_COLUMNS)
 
 
 def presence_checks(checked: DataFrame) -> DataFrame:
@@ -177,33 +179,32 @@ def item_checks(items: DataFrame, documents: DataFrame) -> DataFrame:
     )
     none = F.lit(None).cast("string")
 
-    def row(n: int, a: str, b: str, kind: str, ord_: Column, check: Column, field: str, lv: Column, rv: Column, lu: Column, ru: Column, status: Column, reason: Column) -> Column:
+    def row(n: int, a: str, b: str, kind: str, ord_: Column, check: Column, field: str, lv: Column, rv: Column, lu: Column, ru: Column) -> Column:
         named = F.lit(field) if field else none
-        fields = (check.alias("check"), ord_.alias("ord"), F.lit(kind).alias("type"), F.lit("").alias("event"), F.lit(a).alias("left_doc"), named.alias("left_field"), lv.alias("left_value"), F.lit(b).alias("right_doc"), named.alias("right_field"),
-                  rv.alias("right_value"), lu.alias("left_unit"), ru.alias("right_unit"), status.alias("status"), reason.alias("reason"))
-        return F.struct(*fields)
+        return F.struct(check.alias("check"), ord_.alias("ord"), F.lit(kind).alias("type"), F.lit(a).alias("left_doc"), named.alias("left_field"), lv.alias("left_value"), F.lit(b).alias("right_doc"), named.alias("right_field"), rv.alias("right_value"), lu.alias("left_unit"), ru.alias("right_unit"))
 
     def of_pair(n: int, a: str, b: str) -> list[Column]:
         some = F.col(f"ok{n}") & ((F.col(f"n_{a}") > 0) | (F.col(f"n_{b}") > 0))
         matched = (F.col(f"n_{a}") == 1) & (F.col(f"n_{b}") == 1)
         at = lambda m: F.concat(F.lit("2000:"), "line", F.lit(f":{n}:{m}"))
         named = lambda m: F.concat(F.lit(f"i{n}:"), "line", F.lit(f":{m}"))
-        out = [F.when(some & ~matched, row(n, a, b, "unmatched_item", at(0), named(0), "", none, none, none, none, F.lit("review"), F.lit("no_counterpart")))]
+        out = [F.when(some & ~matched, row(n, a, b, "unmatched_item", at(0), named(0), "", none, none, none, none))]
         for m, field in enumerate(ITEM_MEASURES, 1):
-            lv, rv = F.col(f"{a}.{field}"), F.col(f"{b}.{field}")
-            if field == "description":
-                lv, rv = F.lower(F.trim(lv)), F.lower(F.trim(rv))
             lu, ru = (F.col(f"{a}.unit"), F.col(f"{b}.unit")) if field == "quantity" else (none, none)
-            status, reason = status_of(lv, rv, F.lit(""), F.lit(""), F.lit(field == "quantity"), lu, ru)
-            out.append(F.when(some & matched, row(n, a, b, f"item_{field}_comparison", at(m), named(m), field, F.col(f"{a}.{field}"), F.col(f"{b}.{field}"), lu, ru, status, reason)))
+            out.append(F.when(some & matched, row(n, a, b, f"item_{field}_comparison", at(m), named(m), field, F.col(f"{a}.{field}"), F.col(f"{b}.{field}"), lu, ru)))
         return out
 
     made = [c for n, (a, b) in enumerate(ITEM_PAIRS) for c in of_pair(n, a, b)]
-    compared = lines.join(pair_ok, "transaction_id").select("transaction_id", F.col("line").alias("item"), F.explode(F.array_compact(F.array(*made))).alias("r"))
-    gone = [F.when(F.col(f"gone{n}"), row(n, a, b, "item_table_unavailable", F.lit(f"1500:{n}"), F.lit(f"i{n}"), "", none, none, none, none, F.lit("cannot_evaluate"), F.lit("item_table_unavailable"))) for n, (a, b) in enumerate(ITEM_PAIRS)]
-    absent = pair_ok.select("transaction_id", none.alias("item"), F.explode(F.array_compact(F.array(*gone))).alias("r"))
-    rows = compared.unionByName(absent).select("transaction_id", "item", "r.*")
-    return rows.withColumns({"check_id": F.concat_ws(":", "transaction_id", "check"), "has_review": F.lit(False), "linked": F.lit(False)}).select(*CHECK_COLUMNS)
+    compared = lines.join(pair_ok, "transaction_id").select("transaction_id", F.col("line").alias("item"), F.explode_outer(F.array_compact(F.array(*made))).alias("r"))
+    gone = [F.when(F.col(f"gone{n}"), row(n, a, b, "item_table_unavailable", F.lit(f"1500:{n}"), F.lit(f"i{n}"), "", none, none, none, none)) for n, (a, b) in enumerate(ITEM_PAIRS)]
+    absent = pair_ok.select("transaction_id", none.alias("item"), F.explode_outer(F.array_compact(F.array(*gone))).alias("r"))
+    rows = compared.unionByName(absent).where("r IS NOT NULL").select("transaction_id", "item", "r.*")
+    told = F.col("left_field") == "description"
+    said = lambda c: F.when(told, F.lower(F.trim(c))).otherwise(F.col(c))
+    compared = reason_of(said("left_value"), said("right_value"), F.lit(False), F.col("left_field") == "quantity", F.col("left_unit"), F.col("right_unit"))
+    reason = F.when(F.col("type") == "unmatched_item", "no_counterpart").when(F.col("type") == "item_table_unavailable", "item_table_unavailable").otherwise(compared)
+    rows = rows.withColumns({"check_id": F.concat_ws(":", "transaction_id", "check"), "event": F.lit(""), "has_review": F.lit(False), "linked": F.lit(False), "reason": reason})
+    return rows.withColumn("status", status_of(F.col("reason"))).select(*CHECK_COLUMNS)
 
 
 def audit_points(all_checks: DataFrame) -> DataFrame:

@@ -67,10 +67,14 @@ def with_scope(checks: DataFrame) -> DataFrame:
 
 
 def with_rule_status(checks: DataFrame) -> DataFrame:
-    """Add ``rule_status``. The order matters: an unlinked document, then waivers, then unknown types, then the check's own status."""
+    """Add ``rule_status``. The order matters: an unlinked document, then waivers, then unknown types, then the check's own status.
+
+    It passes through a one-element array, so that filters on it are not rewritten down to the documents' columns, where their code outgrows what the JVM compiles.
+    """
     own = F.coalesce(_lookup({"pass": "PASS", "flag": "FAIL", "review": "REVIEW", "cannot_evaluate": "MISSING"}, "status"), F.lit("REVIEW"))
     status = F.when(F.col("reason") == "required_document_not_linked", "MISSING").when(F.col("scope") == "supplementary", "NOT_APPLICABLE").when(area() == "unmapped", "REVIEW").otherwise(own)
-    return with_scope(checks).withColumn("rule_status", status)
+    scoped = with_scope(checks)
+    return scoped.select(*scoped.columns, F.explode_outer(F.array(status)).alias("rule_status"))
 
 
 def combined(column: str = "rule_status") -> Column:
@@ -121,9 +125,7 @@ def findings(ruled: DataFrame, by_line: bool = False) -> DataFrame:
 
     Identical facts are of one transaction, so they meet where its checks are. Facts about lines (``by_line``) name their line, no two are alike, and nothing is grouped.
     """
-    x, y = F.col("left_value").try_cast("decimal(20,4)"), F.col("right_value").try_cast("decimal(20,4)")
-    comparable = (F.col("left_unit") == F.col("right_unit")) & x.isNotNull() & y.isNotNull()
-    d = F.when(comparable, (x - y).cast("decimal(20,4)"))
+    d = F.when(F.col("left_unit") == F.col("right_unit"), (F.col("left_value").try_cast("decimal(20,4)") - F.col("right_value").try_cast("decimal(20,4)")).cast("decimal(20,4)"))
     kind = _lookup({"FAIL": "value_mismatch", "MISSING": "missing_evidence", "REVIEW": "unresolved_comparison", "PASS": "matched_values"}, "rule_status")
     item = F.col("item") if "item" in ruled.columns else F.lit(None).cast("string")
     rows = ruled.where("rule_status <> 'NOT_APPLICABLE'").select(
