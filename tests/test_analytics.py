@@ -149,3 +149,37 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], CHECK)
     assert review.transactions(review.areas(review.with_rule_status(none))).count() == 0
     assert review.findings(review.with_rule_status(none)).count() == 0
+
+
+def test_limits_and_caches_of_rows_without_a_key(spark):
+    """Rows without a key are one key; long keys beside them keep all their digits."""
+    big = 2**53 + 1
+    df = spark.createDataFrame([(None, i, i) for i in range(5)] + [(big, 10 + i, i) for i in range(4)] + [(big + 1, 20, 1), (7, 30, None)], "user_id long, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: (r.user_id, r.allowed) for r in state.rate_limit(df, "user_id", limit=2, seconds=300).collect()}
+    assert [got[i][1] for i in range(5)] == [True, True, False, False, False] and [got[10 + i] for i in range(4)] == [(big, True), (big, True), (big, False), (big, False)]
+    assert got[20] == (big + 1, True) and 30 not in got
+
+
+def test_a_cache_drops_its_first_entry(spark):
+    order = ["a", "b", "c", "a", "b", "c", "c"]
+    df = spark.createDataFrame([(1, i, k, i) for i, k in enumerate(order)] + [(None, 100 + i, "a", i) for i in range(2)], "user_id long, event_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: r.hit for r in state.cache_hits(df, "k", owner="user_id", entries=2).collect()}
+    assert [got[i] for i in range(7)] == [False, False, False, False, False, False, True] and (got[100], got[101]) == (False, True)
+
+
+@pytest.mark.parametrize(("raw", "value"), [("17-Mar-2025", "2025-03-17"), ("17-March-2025", None), ("March-17-2025", "2025-03-17"), ("17.March.2025", "2025-03-17"), ("17 March 2025", "2025-03-17")])
+def test_months_between_hyphens(spark, raw, value):
+    assert run(spark, raw, "date")[0] == value
+
+
+def test_hits_stand_in_their_windows(spark):
+    para = lambda c, n: c * n
+    long = "\n\n".join(para(c, 9_000) for c in "abcdefghijklmnopqrstuvwxyz")
+    at = long.index("k") + 4_000
+    parents = spark.createDataFrame([(1, long), (2, "short\n\ntext"), (3, "changed")], "doc_id long, text string")
+    hits = spark.createDataFrame([(1, 1, at, long[at : at + 50]), (2, 2, 7, "text"), (3, 3, 0, "was")], "hit_id long, doc_id long, start int, slice string")
+    got = {r.hit_id: r.context for r in retrieve.parent_window(hits, parents).collect()}
+    assert got == {1: "k" * 9_000, 2: "short\n\ntext"}
+    edge = long.index("m") - 100  # close to a bound: the paragraph behind it comes along
+    near = spark.createDataFrame([(4, 1, edge, long[edge : edge + 20])], "hit_id long, doc_id long, start int, slice string")
+    assert retrieve.parent_window(near, parents, cap=30_000).first().context == "\n\n".join((("l" * 9_000), "m" * 9_000))

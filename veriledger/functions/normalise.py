@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 UNITS = {
     "kg": "kg", "kgs": "kg", "kilogram": "kg", "kilograms": "kg", "g": "g", "gram": "g", "grams": "g", "lb": "lb", "lbs": "lb", "mt": "t", "m/t": "t", "tonne": "t", "tonnes": "t",
     "pc": "pcs", "pcs": "pcs", "piece": "pcs", "pieces": "pcs", "ea": "ea", "set": "set", "sets": "set", "ctn": "ctn", "ctns": "ctn", "carton": "ctn", "cartons": "ctn",
-    "pkg": "PKG", "pkgs": "PKG", "package": "PKG", "packages": "PKG", "drum": "drum", "drums": "drum", "cbm": "m3", "m3": "m3", "cft": "ft3", "cuft": "ft3", "cubic feet": "ft3",
+    "pkg": "PKG", "pkgs": "PKG", "package": "PKG", "packages": "PKG", "drum": "drum", "drums": "drum", "cbm": "m3", "m3": "m3", "cft": "ft3", "cuft": "ft3", "cubic feet": "ft3", "킬로그램": "kg", "개": "pcs",
 }
 #: Delivery term codes, present and historical.
 INCOTERMS = "EXW FCA CPT CIP DAP DPU DDP FAS FOB CFR CIF DAT DAF DES DEQ DDU".split()
@@ -141,8 +141,10 @@ def currency(s: Column, codes: list[str]) -> Column:
 #: Date shapes that have one reading, as (pattern, parse format after month names are shortened).
 _YMD = [(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"), (r"^\d{4}년 \d{1,2}월 \d{1,2}일$", "yyyy년 M월 d일")]
 _MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-#: Day, month name, year in either order, with the punctuation that documents use.
-_DAY_FIRST = rf"(?i)^(\d{{1,2}})([ .-]){_MONTH}\2(\d{{4}})$"
+_SHORT = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+#: Day, month name, year in either order, with the punctuation that documents use; between hyphens after a day the month is short.
+_DAY_FIRST = rf"(?i)^(\d{{1,2}})([ .]){_MONTH}\2(\d{{4}})$"
+_DAY_FIRST_HYPHENS = rf"(?i)^(\d{{1,2}})-{_SHORT}-(\d{{4}})$"
 _MONTH_FIRST = rf"(?i)^{_MONTH}(?:\.? (\d{{1,2}}), |\.(\d{{1,2}})\.|-(\d{{1,2}})-)(\d{{4}})$"
 
 
@@ -174,7 +176,7 @@ def date(s: Column, order: str | None = None) -> Column:
         a, b, y = (F.regexp_extract(p, digits, k) for k in (1, 3, 4))
         dmy, mdy = (F.when(p.rlike(digits), _parse(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")) for d, m in ((a, b), (b, a)))
         one = _let(F.array_distinct(F.array_compact(F.array(dmy, mdy))), lambda v: F.when(F.size(v) == 1, F.element_at(v, 1)))
-        return F.coalesce(*(F.when(p.rlike(x), _parse(p, f)) for x, f in _YMD), _named(p, _DAY_FIRST, (1,), 3, 4), _named(p, _MONTH_FIRST, (2, 3, 4), 1, 5), {"DMY": dmy, "MDY": mdy}.get(order, one))
+        return F.coalesce(*(F.when(p.rlike(x), _parse(p, f)) for x, f in _YMD), _named(p, _DAY_FIRST, (1,), 3, 4), _named(p, _DAY_FIRST_HYPHENS, (1,), 2, 3), _named(p, _MONTH_FIRST, (2, 3, 4), 1, 5), {"DMY": dmy, "MDY": mdy}.get(order, one))
 
     result = _let(_let(plain, read), lambda d: F.when(d.isNotNull(), _ok(F.date_format(d, "yyyy-MM-dd"))).otherwise(_no("ambiguous_or_invalid_date")))
     return _filled(s, F.when((suffix != "") & (suffix != right), _no("invalid_day_ordinal")).otherwise(result))

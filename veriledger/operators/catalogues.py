@@ -122,8 +122,8 @@ def negative_captions(text: Column) -> Column:
     )
 
 
-def label_chains(tokens: DataFrame, vocabulary: DataFrame, hops: int = 2) -> DataFrame:
-    """Captions over several lines: tokens below each other are joined while the phrase begins a known term; the longest known phrase of each first token stays.
+def label_chains(tokens: DataFrame, vocabulary: DataFrame, hops: int = 4) -> DataFrame:
+    """Captions over up to five lines (``hops`` + 1, as the original): tokens below each other are joined while the phrase begins a known term; the longest known phrase of each first token stays.
 
     ``vocabulary`` (term, field) is a small dimension; each hop is a join within the page.
     """

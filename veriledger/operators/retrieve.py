@@ -193,9 +193,42 @@ def authority_order(kind: Column) -> Column:
 
 
 def parent_window(hits: DataFrame, parents: DataFrame, before: int = 1200, after: int = 1600, whole: int = 200_000, cap: int = 14_000) -> DataFrame:
-    """Text around a hit in its parent, at most ``cap`` characters; a stored slice that no longer matches is refused."""
+    """The parent's text around a hit; a stored slice that no longer matches is refused.
+
+    Parents of up to ``whole`` characters are given whole. Of longer ones, whole paragraphs (parted by empty lines): from the
+    last bound ``before`` characters ahead of the hit to the first one ``after`` characters behind it, or, where that is over ``cap``, just those that hold the hit.
+    """
     j = hits.join(parents.select("doc_id", F.col("text").alias("parent")), "doc_id")
-    same = F.substr("parent", F.col("start") + 1, F.length("slice")) == F.col("slice")
-    lo = F.greatest(F.col("start") - before, F.lit(0))
-    window = F.substr("parent", lo + 1, F.col("start") - lo + F.length("slice") + after)
-    return j.where(same).select("hit_id", "doc_id", F.substr(F.when(F.length("parent") <= whole, F.col("parent")).otherwise(window), F.lit(1), F.lit(cap)).alias("context"))
+    start, n = F.col("start"), F.length("parent")
+    end = start + F.length("slice")
+
+    def opens(at: Column) -> Column:
+        """Where the paragraph begins that holds position ``at``: behind the last bound that ends before it."""
+        back = F.instr(F.reverse(F.substr("parent", F.lit(1), at)), "\n\n")
+        return F.when(back == 0, 0).otherwise(at - back + 1)
+
+    def closes(at: Column) -> Column:
+        """Where the paragraph ends that holds position ``at``: at the first bound from there on."""
+        ahead = F.instr(F.substr("parent", at + 1, n), "\n\n")
+        return F.when(ahead == 0, n).otherwise(at + ahead - 1)
+
+    wide = j.withColumns({"_l": opens(F.greatest(start - before, F.lit(0))), "_r": closes(F.least(n, end + after))})
+    tight = F.col("_r") - F.col("_l") > cap
+    bounded = wide.withColumns({"_from": F.when(n <= whole, 0).when(tight, opens(start)).otherwise(F.col("_l")), "_to": F.when(n <= whole, n).when(tight, closes(end)).otherwise(F.col("_r"))})
+    same = F.substr("parent", start + 1, F.length("slice")) == F.col("slice")
+    return bounded.where(same).select("hit_id", "doc_id", F.substr("parent", F.col("_from") + 1, F.col("_to") - F.col("_from")).alias("context"))
+
+
+def fitted_sources(ranked: DataFrame, texts: DataFrame, budget: int = 12_000) -> DataFrame:
+    """Of each question's distinct sources, best rank first, those that fit together in ``budget`` characters: one that does not fit is skipped and the next is tried.
+
+    A question has forty sources at most (four queries of ten), so its list is one row of bounded size, folded in place.
+    """
+    rows = ranked.join(texts.select("id", F.length("text").alias("size")), "id").groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "size"))).alias("rows"))
+    empty = F.struct(F.lit(0).cast("int").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+
+    def take(state: Column, r: Column) -> Column:
+        fits = state["used"] + r["size"] <= budget
+        return F.struct(F.when(fits, state["used"] + r["size"]).otherwise(state["used"]).cast("int").alias("used"), F.when(fits, F.concat(state["ids"], F.array(r["id"].cast("bigint")))).otherwise(state["ids"]).alias("ids"))
+
+    return rows.select("question", F.posexplode(F.aggregate("rows", empty, take)["ids"]).alias("place", "id"))

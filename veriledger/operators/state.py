@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def micros(ts: str | Column) -> Column:
     """Microseconds of a timestamp, with or without a zone (read in the session's, UTC here)."""
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
@@ -45,14 +46,15 @@ def rate_limit(events: DataFrame, key: str, limit: int = 20, seconds: int = 300)
 
     Whether a row counts depends on whether it was let through, which no window frame can say; each
     key's rows pass in time order through a queue of at most ``limit`` times. Rows stream through in
-    sorted batches, so a hot key needs no memory of its own. Columns: the key, ts, event_id.
+    sorted batches, so a hot key needs no memory of its own. Rows without a key are limited together; rows without a time
+    cannot be placed and give nothing. Columns: the key, ts, event_id.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, queue = object(), []
         for b in batches:
             out = []
-            for k, t in zip(b[key], b["us"]):
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if k != now:
                     now, queue = k, []
                 queue = [x for x in queue if x > t - seconds * 1_000_000]
@@ -60,38 +62,43 @@ def rate_limit(events: DataFrame, key: str, limit: int = 20, seconds: int = 300)
                 if allowed:
                     queue.append(t)
                 out.append(allowed)
-            yield pd.DataFrame({key: b[key], "event_id": b["event_id"], "allowed": out})
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.bool_())], [key, "event_id", "allowed"])
 
-    rows = events.select(F.col(key).cast("long").alias(key), micros("ts").alias("us"), "event_id")
-    return rows.repartition(key).sortWithinPartitions(key, "us", "event_id").mapInPandas(run, f"{key} long, event_id long, allowed boolean")
+    rows = events.select(F.col(key).cast("long").alias(key), micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id")).where("us IS NOT NULL")
+    return rows.repartition(key).sortWithinPartitions(key, "us", "event_id").mapInArrow(run, f"{key} long, event_id long, allowed boolean")
 
 
 def sessions_open(logins: DataFrame, now: Column, seconds: int = 43_200) -> DataFrame:
     return logins.where(F.col("ts") + F.make_interval(secs=F.lit(seconds)) > now)
 
 
-def cache_hits(requests: DataFrame, key: str, seconds: int = 1800) -> DataFrame:
+def cache_hits(requests: DataFrame, key: str, seconds: int = 1800, owner: str | None = None, entries: int = 128) -> DataFrame:
     """Would a cache whose entries live ``seconds`` from being written have answered?
 
-    A row is written when the entry of its key has run out, and a hit does not renew it; writes
-    are found by walking each key's gaps, in the same stream as above.
+    A row is written when the entry of its key has run out, and a hit does not renew it. Each ``owner`` (the key itself if none is
+    given) has a cache of its own, of at most ``entries`` entries: a write beyond that drops the entry written first.
+    Owners' rows pass in time order, in the same stream as above, so memory is one cache.
     """
+    own = owner or key
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, written = object(), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, written = object(), {}
         for b in batches:
             out = []
-            for k, t in zip(b[key], b["us"]):
-                if k != now:
-                    now, written = k, None
-                hit = written is not None and t - written < seconds * 1_000_000
+            for o, k, t in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if o != now:
+                    now, written = o, {}
+                hit = k in written and t - written[k] < seconds * 1_000_000
                 if not hit:
-                    written = t
+                    written.pop(k, None)
+                    if len(written) >= entries:
+                        written.pop(next(iter(written)))
+                    written[k] = t
                 out.append(hit)
-            yield pd.DataFrame({key: b[key], "event_id": b["event_id"], "hit": out})
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(out, pa.bool_())], [key, "event_id", "hit"])
 
-    rows = requests.select(F.col(key).cast("string").alias(key), micros("ts").alias("us"), "event_id")
-    return rows.repartition(key).sortWithinPartitions(key, "us", "event_id").mapInPandas(run, f"{key} string, event_id long, hit boolean")
+    rows = requests.select(F.col(own).cast("string").alias("_owner"), F.col(key).cast("string").alias(key), micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id")).where("us IS NOT NULL")
+    return rows.repartition("_owner").sortWithinPartitions("_owner", "us", "event_id").mapInArrow(run, f"{key} string, event_id long, hit boolean")
 
 
 def journal(events: DataFrame, key: str) -> DataFrame:

@@ -118,11 +118,15 @@ def label_negative(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), C.negative_captions(text).alias("kind"))
 
 
-STACKED = "SELECT o_orderkey AS doc_id, 1 AS page, n AS tid, CASE n WHEN 0 THEN 'Port' WHEN 1 THEN 'of' WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Loading' ELSE 'Discharge' END ELSE 'Quantity' END AS text, 20.0 AS x, CASE WHEN o_orderkey % 5 = 0 THEN 100.0 + 60 * n ELSE 100.0 + 20 * n END AS y, 18.0 AS h FROM {orders} CROSS JOIN (VALUES (0), (1), (2), (9)) AS v(n)"
+#: Captions of three and of five lines beside captions of one.
+STACKED = """SELECT o_orderkey AS doc_id, 1 AS page, n AS tid, CASE WHEN n = 9 THEN 'Quantity' WHEN o_orderkey % 7 = 0 THEN CASE n WHEN 0 THEN 'Place' WHEN 1 THEN 'and' WHEN 2 THEN 'Date' WHEN 3 THEN 'of' ELSE 'Issue' END
+  ELSE CASE n WHEN 0 THEN 'Port' WHEN 1 THEN 'of' WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Loading' ELSE 'Discharge' END WHEN 3 THEN 'of' ELSE 'goods' END END AS text,
+  20.0 AS x, CASE WHEN o_orderkey % 5 = 0 THEN 100.0 + 60 * n ELSE 100.0 + 20 * n END AS y, 18.0 AS h FROM {orders} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (9)) AS v(n)"""
 
 
-@query("""SELECT o_orderkey AS doc_id, 0 AS "first", 2 AS last, 3 AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'port_of_loading' ELSE 'port_of_discharge' END AS field FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 9, 9, 1, 'quantity' FROM orders""")
+@query("""SELECT o_orderkey AS doc_id, 0 AS "first", CASE WHEN o_orderkey % 7 = 0 THEN 4 ELSE 2 END AS last, CASE WHEN o_orderkey % 7 = 0 THEN 5 ELSE 3 END AS n, CASE WHEN o_orderkey % 7 = 0 THEN 'issue' WHEN o_orderkey % 3 = 0 THEN 'port_of_loading' ELSE 'port_of_discharge' END AS field
+FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 9, 9, 1, 'quantity' FROM orders""")
 def label_chains(spark: SparkSession, sf: str) -> DataFrame:
-    """LB-20 and LB-21: captions over several lines, two bounded hops."""
-    voc = spark.createDataFrame(list(P.VOCABULARY.items()), "term string, field string")
+    """LB-20 and LB-21: captions over up to five lines."""
+    voc = spark.createDataFrame([*P.VOCABULARY.items(), ("placeanddateofissue", "issue")], "term string, field string")
     return C.label_chains(view(spark, sf, STACKED, "orders"), voc).select("doc_id", "first", "last", "n", "field")

@@ -226,8 +226,8 @@ def state_sessions_open(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def state_cache_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """ST-07 and ST-16: entries live from their write; a test walks the rows."""
-    return S.cache_hits(table(spark, sf, "events"), "event_type", 1800)
+    """ST-07 and ST-16: each user's cache of 128 entries that live from their write; a test walks the rows."""
+    return S.cache_hits(table(spark, sf, "events"), "event_type", 1800, owner="user_id")
 
 
 @query("SELECT d.doc_id, sha256(d.text || '|settings|v1') AS cache_key, d.doc_id % 2 = 0 AS cached FROM documents d WHERE text IS NOT NULL")
