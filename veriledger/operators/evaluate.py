@@ -103,3 +103,19 @@ def pattern_scan(rows: DataFrame, text: str) -> DataFrame:
     """One row a hit of a pattern."""
     hits = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.lit(n)) for n, p in SECRET_PATTERNS.items())))
     return rows.withColumn("pattern", F.explode(hits))
+
+
+def replayed(saved: DataFrame, gold: DataFrame) -> DataFrame:
+    """Saved answers against gold: the last answer of each cell is replayed. A wrong value counts as false positive and false negative.
+
+    ``saved``: doc_id, field, value, seen_at; ``gold``: doc_id, field, value. Cells are reduced to their last answer before they meet the gold.
+    """
+    last = saved.groupBy("doc_id", "field").agg(F.max_by(F.struct("value"), "seen_at").alias("s"))
+    j = gold.withColumnRenamed("value", "gold").join(last, ["doc_id", "field"], "left").withColumn("said", F.col("s.value"))
+    right, wrong = F.col("said") == F.col("gold"), ~F.col("said").eqNullSafe(F.col("gold"))
+    line = F.when(F.col("said").isNotNull(), F.struct("field", "said"))
+    agg = j.groupBy("doc_id").agg(
+        F.max(F.col("s").isNotNull()).alias("replayed"), F.count(F.when(right, 1)).alias("tp"), F.count(F.when(F.col("said").isNotNull() & wrong, 1)).alias("fp"), F.count(F.when(F.col("gold").isNotNull() & wrong, 1)).alias("fn"), F.array_sort(F.collect_list(line)).alias("lines")
+    )
+    text = F.array_join(F.transform("lines", lambda r: F.concat(r["field"], F.lit("="), r["said"])), "\n")
+    return agg.select("doc_id", "replayed", "tp", "fp", "fn", F.sha2(text, 256).alias("response_sha"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, grounded, intake, norm, recon, retrieval, rules, service  # noqa: F401  these register their queries
+from . import evaluation, forms, grounded, intake, norm, recon, retrieval, rules, service, subjects  # noqa: F401  these register their queries
 from .base import ORACLES, QUERIES, Query
 
 
