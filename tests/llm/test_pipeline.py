@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -12,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as P  # noqa: E402
 
-from veriledger.llm import common, decontaminate, divergence_rules, pack_concat, simhash_dedup  # noqa: E402
+from veriledger.llm import common, decontaminate, divergence_rules, pack_concat, simhash_dedup, subword_toxicity  # noqa: E402
 from veriledger.llm.oracles import ORACLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +38,16 @@ def test_stages(spark, stages):
     for df in stages[:-1]:
         assert df.columns == docs.columns
     assert ids(ruled) == ids(divergence_rules.quality_rules(docs).where("kept"))
-    assert 0 < clean.count() <= ruled.count()
+    # Toxicity, against a model of the same sample trained and applied row by row outside Spark.
+    texts = {r.doc_id: (r.text or "").encode() for r in ruled.collect()}
+    marks = {}
+    for r in common.table(spark, SF, "labels").collect():
+        if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            marks[r.doc_id] = max(r.toxic, marks.get(r.doc_id, 0))
+    order = sorted(i for i in marks if i in texts)
+    model = subword_toxicity.SubwordModel.fit((subword_toxicity.split(texts[i]) for i in order), [marks[i] for i in order], sum(marks.values()) / len(marks))
+    assert ids(clean) == sorted(i for i, t in texts.items() if model.score([t])[0] < 0.5)
+    assert 0 < clean.count() < ruled.count()
     assert ids(unique) == sorted({r.component_id for r in simhash_dedup.near_duplicates(clean).collect()})
     bad = {r.doc_id for r in decontaminate.leaks(unique, common.table(spark, SF, "benchmark")).collect()}
     assert ids(safe) == [i for i in ids(unique) if i not in bad]

@@ -6,8 +6,8 @@ words' vectors, a two-class linear softmax reads that average, and the text's sc
 sentence in a long text then weighs as much as in a short one, wherever it falls, and a word repeated hundreds of
 times weighs once a window. Embeddings and softmax weights are learned jointly, each text by the
 window that is worst at that moment, so a misspelling never seen shares the vectors of its n-grams.
-Because every step after the lookup is linear, a word's share of the logit is a number that a worker
-computes once and then adds up.
+Because every step after the lookup is linear, a word's share of the logit is a number that a task
+computes once while it keeps the word and then adds up.
 
 Defined results: null and empty texts get the bias alone; null ids are scored; repeated rows
 are scored each; very long texts are scored whole, in memory that grows with their words; of windows that are equally bad (ties) any gives
@@ -19,7 +19,6 @@ the score is 0.5, with one class a smoothed prior.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -113,8 +112,7 @@ class SubwordModel:
 
     def __post_init__(self) -> None:
         self._logit = self.emb @ (self.out[1] - self.out[0])  # each bucket's share of the difference of the two logits
-        self._number: dict[bytes, int] = {}
-        self._words = np.zeros(0)
+        self.forget()
 
     @classmethod
     def constant(cls, p: float, dim: int = 12) -> SubwordModel:
@@ -125,10 +123,14 @@ class SubwordModel:
         sizes, flat = gram_table(words)
         return np.add.reduceat(self._logit[flat], np.cumsum(sizes) - sizes) / sizes
 
-    def _numbers(self, texts: list[list[bytes]], most: int = 400_000) -> np.ndarray:
-        """Numbers of all words in a row; words already met by this worker are kept, up to a bound on memory."""
+    def forget(self) -> None:
+        """Let the words go that were met so far."""
+        self._number, self._words = {}, np.zeros(0)
+
+    def _numbers(self, texts: list[list[bytes]], most: int = 200_000) -> np.ndarray:
+        """Numbers of all words in a row; words already met in this task are kept, up to a bound on memory."""
         if len(self._number) > most:
-            self._number, self._words = {}, np.zeros(0)
+            self.forget()
         new = list(set().union(*texts).difference(self._number))
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
@@ -251,23 +253,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "tox
     return SubwordModel.fit(texts(), labels_, prior)
 
 
-_models: dict[str, SubwordModel] = {}
-
-
-def shared_model(name: str, parts: tuple[np.ndarray, ...]) -> SubwordModel:
-    """The model of this Python worker, which serves many tasks and keeps the words it has met; one at a time."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = SubwordModel(*parts)
-    return _models[name]
-
-
 def score(docs: DataFrame, model: SubwordModel, held_out: F.Column, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, over whole texts."""
-    shared, name = docs.sparkSession.sparkContext.broadcast((model.emb, model.out, model.bias)), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast((model.emb, model.out, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared_model(name, shared.value)
+        m = SubwordModel(*shared.value)
         for b in batches:
             for start, size in slices(b, "text"):
                 p = m.score(text_bytes(b, "text", start, size))
@@ -278,10 +269,10 @@ def score(docs: DataFrame, model: SubwordModel, held_out: F.Column, threshold: f
 
 def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.5) -> DataFrame:
     """The rows whose score is under the threshold, all columns as they came."""
-    shared, name = docs.sparkSession.sparkContext.broadcast((model.emb, model.out, model.bias)), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast((model.emb, model.out, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared_model(name, shared.value)
+        m = SubwordModel(*shared.value)
         for b in batches:
             for start, size in slices(b, "text"):
                 part = b.slice(start, size)
