@@ -2,6 +2,11 @@
 
 Each stage takes all rows that its predecessor kept. Quality rules, toxicity, near-duplicates
 and benchmark leaks remove rows and return the columns of ``documents``; packing returns pieces.
+
+Defined results: null and empty texts go with the first stage, as they have fewer than 50 words; rows with a null id are kept or go by
+their text like any other, and in a group of near copies an id stays before none; rows repeated with id and text leave one row, those that share an
+id alone are judged apart; of near copies the smallest id stays, and of several texts under it the one with the least hash (ties); very long
+texts go through every stage whole; extra columns are carried to the last stage; empty tables give no rows, and an empty label or benchmark table removes nothing.
 """
 
 from __future__ import annotations
