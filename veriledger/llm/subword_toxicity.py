@@ -39,6 +39,8 @@ SCALE = 8.0
 PAD = 8
 #: Words of a window.
 WINDOW = 32
+#: Bytes of text scored at a time.
+SLICE_BYTES = 800_000
 #: Most bytes of text that training reads.
 MAX_TRAIN_BYTES = 40_000_000
 
@@ -88,13 +90,13 @@ def split(text: bytes) -> list[bytes]:
 def window_means(logit: np.ndarray, number: np.ndarray, lengths: np.ndarray, offset: int) -> np.ndarray:
     """The greatest padded mean over the windows of each text, whose words are ``number`` with their ``logit``; windows begin ``offset`` words early. Texts have a word at least."""
     first = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(number)) - first[doc]
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    place = (np.arange(len(number)) - first[doc]).astype(np.int32)
     begin = (place + offset) // WINDOW * WINDOW - offset  # of the word's window, in its text
     # A word counts unless it stands in the same window before.
     order = np.lexsort((number, doc))
     same = (number[order[1:]] == number[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    before = np.full(len(number), -WINDOW - 1)
+    before = np.full(len(number), -WINDOW - 1, np.int32)
     before[order[1:][same]] = place[order[:-1][same]]
     counts = before < begin
     cuts = np.flatnonzero((place == 0) | ((place + offset) % WINDOW == 0))
@@ -127,15 +129,15 @@ class SubwordModel:
         """Let the words go that were met so far."""
         self._number, self._words = {}, np.zeros(0)
 
-    def _numbers(self, texts: list[list[bytes]], most: int = 200_000) -> np.ndarray:
+    def _numbers(self, texts: list[list[bytes]], most: int = 80_000) -> np.ndarray:
         """Numbers of all words in a row; words already met in this task are kept, up to a bound on memory."""
         if len(self._number) > most:
             self.forget()
         new = list(set().union(*texts).difference(self._number))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
             self._number.update(zip(part, range(len(self._number), len(self._number) + len(part))))
-            self._words = np.concatenate([self._words, self.word_logits(part)])
+            self._words = np.concatenate([self._words, self.word_logits(part).astype(np.float32)])
         n = sum(map(len, texts))
         return np.fromiter((k for t in texts for k in map(self._number.__getitem__, t)), np.int32, n)
 
@@ -260,7 +262,7 @@ def score(docs: DataFrame, model: SubwordModel, held_out: F.Column, threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = SubwordModel(*shared.value)
         for b in batches:
-            for start, size in slices(b, "text"):
+            for start, size in slices(b, "text", SLICE_BYTES):
                 p = m.score(text_bytes(b, "text", start, size))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, size), b.column(1).slice(start, size), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -274,7 +276,7 @@ def keep_clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.5) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = SubwordModel(*shared.value)
         for b in batches:
-            for start, size in slices(b, "text"):
+            for start, size in slices(b, "text", SLICE_BYTES):
                 part = b.slice(start, size)
                 yield part.filter(pa.array(m.score(text_bytes(b, "text", start, size)) < threshold))
 
