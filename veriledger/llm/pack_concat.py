@@ -137,7 +137,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, local = word_cache(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for start, size in slices(b, "text", 8_000_000):
+            for start, size in slices(b, "text", 4_000_000):
                 ids = [x + end for x in cache.encode(text_bytes(b, "text", start, size))]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 offsets = local + np.cumsum(n) - n
