@@ -28,6 +28,8 @@ from .common import materialise, slices, text_bytes
 
 END_ID = 1
 WINDOW = 2048
+#: Bytes of text encoded at a time, and pieces of a generation of the cache: smaller ones take less memory and more time, and give the same ids.
+SLICE_BYTES, CACHED = 8_000_000, 250_000
 
 
 def default_tokenizer() -> str:
@@ -76,7 +78,7 @@ class WordCache:
     is full it becomes the old one, and a piece found there moves back, so frequent pieces stay.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -120,24 +122,25 @@ class WordCache:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
 
 
-_caches: dict[str, WordCache] = {}
+_caches: dict[tuple[str, int], WordCache] = {}
 
 
-def word_cache(path: str) -> WordCache:
-    """The cache of this Python worker, which serves many tasks."""
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
+def word_cache(path: str, most: int = CACHED) -> WordCache:
+    """The cache of this Python worker, which serves many tasks; one at a time."""
+    if (path, most) not in _caches:
+        _caches.clear()
+        _caches[path, most] = WordCache(path, most)
+    return _caches[path, most]
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, slice_bytes: int = SLICE_BYTES, cached: int = CACHED) -> DataFrame:
     """(doc_id, ids, n, part, local): ids as bytes with the end id, the task and the offset inside it."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, local = word_cache(tokenizer_path), TaskContext.get().partitionId(), 0
+        cache, part, local = word_cache(tokenizer_path, cached), TaskContext.get().partitionId(), 0
         for b in batches:
-            for start, size in slices(b, "text", 4_000_000):
+            for start, size in slices(b, "text", slice_bytes):
                 ids = [x + end for x in cache.encode(text_bytes(b, "text", start, size))]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 offsets = local + np.cumsum(n) - n
@@ -162,9 +165,9 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, cached: int = CACHED) -> DataFrame:
     """One row a piece, with the checksum of its ids."""
-    tokens = materialise(token_table(docs, tokenizer_path or default_tokenizer()), "tokens")
+    tokens = materialise(token_table(docs, tokenizer_path or default_tokenizer(), slice_bytes=slice_bytes, cached=cached), "tokens")
     pieces = cut(tokens, window).withColumn("ids_crc32", F.crc32("piece"))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
